@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import Scratch, table
 from .components import connected_components
 from .heavy_hitters import heavy_hitters
+from .mojibake import garbled_texts
 from .term_frequency import marked_terms
 from .top_n import top_n
 from .visual_form import same_look_pairs
@@ -50,8 +51,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(table(spark, d, "rank_record"), "variant", "candidate", "rank", "rec_id", 5, only_longer=True).select("rec_id")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_texts(table(spark, d, "documents"), "text", "lang", "doc_id").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_texts(table(spark, d, "documents"), "text", "lang", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_top_words, p2_found, p3_found, p3_terms, p6_found, p7_found)
+    f.__name__: f for f in (p1_found, p1_top_words, p2_found, p3_found, p3_terms, p6_found, p7_found, p10_found, p10_restored)
 }
 
 SQL: dict[str, str] = {
