@@ -1,3 +1,65 @@
-QUERIES = {}
-SQL = {}
-def flagship(spark, d): ...
+"""Queries of the core operators, over whole tables, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import table
+from ..sources.raw_records import Field, load_records
+
+ALPHABET_FIELDS = [Field("ch", "char"), Field("freq", "number"), Field("hash", "number")]
+BACKGROUND_FIELDS = [Field("word", "word"), Field("freq", "number")]
+
+
+def _raw(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    a = load_records(table(spark, d, "fillalphabet").select("line_id", "line"), "line", ALPHABET_FIELDS, comment="#")
+    b = load_records(table(spark, d, "read_backgound").select("line_id", "line"), "line", BACKGROUND_FIELDS, least=1)
+    return a, b
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _raw(spark, d)
+    return a.where("_reason is not null").select(F.lit("fillalphabet").alias("src"), "line_id").unionByName(
+        b.where("_reason is not null").select(F.lit("read_backgound").alias("src"), "line_id"))
+
+
+def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _raw(spark, d)
+    keep = ["line_id", "_reason", "_offset"]
+    return a.select(F.lit("fillalphabet").alias("src"), *keep).unionByName(b.select(F.lit("read_backgound").alias("src"), *keep)).where("_reason is not null").select(
+        "src", "line_id", F.col("_reason").alias("reason"), F.col("_offset").alias("at_byte"))
+
+
+def p4_alphabet(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d)[0].where("_reason is null").select("line_id", "ch", "freq", "hash")
+
+
+def p4_background(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d)[1].where("_reason is null").select("line_id", "word", "freq")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_reasons, p4_alphabet, p4_background)}
+
+_UNQUOTED = r"""list_filter(list_transform(regexp_extract_all(l, '"(?:[^"]|"")*"|[^"\t]+'), lambda x: CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END), lambda x: x <> '')"""
+_NUMBER = "(regexp_matches({0}, '^[0-9]+$') AND (length(ltrim({0}, '0')) < 19 OR (length(ltrim({0}, '0')) = 19 AND ltrim({0}, '0') <= '9223372036854775807')))"
+_RAW = r"""
+    WITH clean AS (SELECT line_id, regexp_replace(regexp_replace(line, '^\x{FEFF}', ''), '\r\z', '') AS l FROM TABLE_),
+    cut AS (SELECT line_id, l, regexp_matches(l, '\A(?:"(?:[^"]|"")*"|[^"\t]*)(?:\t(?:"(?:[^"]|"")*"|[^"\t]*))*\z') AS quoting, """ + _UNQUOTED + r""" AS f
+        FROM clean WHERE l IS NOT NULL AND NOT regexp_matches(l, '\A[ \t]*\z') ONLY_)
+"""
+_ALPHABET = _RAW.replace("TABLE_", "fillalphabet").replace("ONLY_", "AND l NOT LIKE '#%'")
+_BACKGROUND = _RAW.replace("TABLE_", "read_backgound").replace("ONLY_", "")
+_ALPHABET_OK = f"quoting AND len(f) = 3 AND length(f[1]) = 1 AND {_NUMBER.format('f[2]')} AND {_NUMBER.format('f[3]')}"
+_BACKGROUND_OK = rf"quoting AND len(f) IN (1, 2) AND NOT regexp_matches(f[1], '[\p{{Z}}\s\p{{Cc}}\x{{FFFD}}]') AND (len(f) = 1 OR {_NUMBER.format('f[2]')})"
+SQL: dict[str, str] = {
+    "p4_found": f"SELECT 'fillalphabet' AS src, line_id FROM ({_ALPHABET} SELECT line_id FROM cut WHERE NOT ({_ALPHABET_OK})) UNION ALL SELECT 'read_backgound', line_id FROM ({_BACKGROUND} SELECT line_id FROM cut WHERE NOT ({_BACKGROUND_OK}))",
+    "p4_alphabet": f"{_ALPHABET} SELECT line_id, f[1] AS ch, CAST(f[2] AS BIGINT) AS freq, CAST(f[3] AS BIGINT) AS hash FROM cut WHERE {_ALPHABET_OK}",
+    "p4_background": f"{_BACKGROUND} SELECT line_id, f[1] AS word, CAST(f[2] AS BIGINT) AS freq FROM cut WHERE {_BACKGROUND_OK}",
+}
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return p4_found(spark, d)
