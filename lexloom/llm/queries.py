@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, table
 from .components import connected_components
+from .fusion import Score, fused_ranking
 from .heavy_hitters import heavy_hitters
 from .mojibake import garbled_texts
+from .packing import bound_of, pack, token_counts
 from .term_frequency import marked_terms
 from .top_n import top_n
 from .visual_form import same_look_pairs
@@ -43,6 +45,20 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
     return marked_terms(table(spark, d, "read_words"), "list_id", "line_no", "wrd", "frq", scratch=Scratch(spark, "terms"))
 
 
+P5_SCORES = [Score("ld", high=False), Score("cosine"), Score("candidate_freq"), Score("pairs1")]
+
+
+def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return fused_ranking(table(spark, d, "rank_record"), "variant", "candidate", P5_SCORES).withColumn("score", F.round("score", 9))
+
+
+def p5_judged(spark: SparkSession, d: str) -> DataFrame:
+    """The preferred candidates' positions, and the mean reciprocal rank over them."""
+    labels = table(spark, d, "preferred_candidates").select("variant", "candidate").distinct()
+    hit = labels.join(p5_ranking(spark, d), ["variant", "candidate"])
+    return hit.agg(F.count(F.lit(1)).alias("judged"), F.sum(F.when(F.col("position") == 1, 1).otherwise(0)).alias("first"), F.round(F.avg(1 / F.col("position")), 6).alias("reciprocal_rank"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look_pairs(table(spark, d, "rank_record"), ["variant", "lower_candidate"])
 
@@ -51,6 +67,23 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(table(spark, d, "rank_record"), "variant", "candidate", "rank", "rec_id", 5, only_longer=True).select("rec_id")
 
 
+#: Tokens of a container.
+P8_CAPACITY = 2048
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = Scratch(spark, "tokens").save(token_counts(table(spark, d, "documents"), "doc_id", "text"))
+    return pack(sizes, "doc_id", "tokens", P8_CAPACITY)
+
+
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the fewest that any packing could use, and the share of room filled."""
+    sizes = Scratch(spark, "tokens").save(token_counts(table(spark, d, "documents"), "doc_id", "text"))
+    used = pack(sizes, "doc_id", "tokens", P8_CAPACITY).where("container is not null")
+    return used.agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens")).select(
+        "containers", F.lit(bound_of(sizes, "tokens", P8_CAPACITY)).cast("bigint").alias("lower_bound"), "tokens", F.round(F.col("tokens") / (F.col("containers") * P8_CAPACITY), 6).alias("filled"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return garbled_texts(table(spark, d, "documents"), "text", "lang", "doc_id").select("doc_id")
 
@@ -60,7 +93,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_top_words, p2_found, p3_found, p3_terms, p6_found, p7_found, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_top_words, p2_found, p3_found, p3_terms, p5_ranking, p5_judged, p6_found, p7_found, p8_containers, p8_summary, p10_found, p10_restored)
 }
 
 SQL: dict[str, str] = {
@@ -77,3 +110,23 @@ SQL: dict[str, str] = {
         WHERE n > 5 AND k <= 5""",
 }
 SQL["p3_found"] = f"SELECT wrd, mark FROM ({SQL['p3_terms']}) WHERE mark IS NOT NULL"
+
+
+def _p5_sql() -> str:
+    """Medians by sorting; fusion in one pass. quantile_disc gives the lower median."""
+    cols = [(s.column, s.high) for s in P5_SCORES]
+    mid = ", ".join(f"quantile_disc(CAST({c} AS DOUBLE), 0.5) AS {c}_m" for c, _ in cols)
+    away = ", ".join(f"quantile_disc(abs({c} - {c}_m), 0.5) AS {c}_d, avg(abs({c} - {c}_m)) AS {c}_a" for c, _ in cols)
+    terms = []
+    for c, high in cols:
+        z = f"(({c} - {c}_m) / CASE WHEN {c}_d > 0 THEN 1.4826 * {c}_d ELSE 1.2533 * {c}_a END)"
+        terms.append(f"coalesce(-ln(1 + exp(-greatest(least({'' if high else '-'}{z}, 700.0), -700.0))), 0)")
+    n = " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c, _ in cols)
+    return f"""
+        WITH m AS (SELECT {mid} FROM rank_record), a AS (SELECT {away} FROM rank_record, m),
+        s AS (SELECT variant, candidate, max(round(exp(({' + '.join(terms)}) / ({n})), 12)) AS score FROM rank_record, m, a
+            WHERE variant IS NOT NULL AND candidate IS NOT NULL AND {n} > 0 GROUP BY ALL)
+        SELECT variant, candidate, round(score, 9) AS score, row_number() OVER (PARTITION BY variant ORDER BY score DESC, candidate) AS position FROM s"""
+
+
+SQL["p5_ranking"] = _p5_sql()
