@@ -11,6 +11,7 @@ from ..session import Scratch, table
 from .components import connected_components
 from .fusion import Score, fused_ranking
 from .heavy_hitters import heavy_hitters
+from .leakage import leaked_items
 from .mojibake import garbled_texts
 from .packing import bound_of, pack, token_counts
 from .term_frequency import marked_terms
@@ -84,6 +85,15 @@ def p8_summary(spark: SparkSession, d: str) -> DataFrame:
         "containers", F.lit(bound_of(sizes, "tokens", P8_CAPACITY)).cast("bigint").alias("lower_bound"), "tokens", F.round(F.col("tokens") / (F.col("containers") * P8_CAPACITY), 6).alias("filled"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
+
+
+def p9_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    got = leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", exact=False)
+    return got.select("doc_id", "item_id", F.round("cosine", 3).alias("cosine"), F.round("lcs", 3).alias("lcs"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return garbled_texts(table(spark, d, "documents"), "text", "lang", "doc_id").select("doc_id")
 
@@ -93,7 +103,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_top_words, p2_found, p3_found, p3_terms, p5_ranking, p5_judged, p6_found, p7_found, p8_containers, p8_summary, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_top_words, p2_found, p3_found, p3_terms, p5_ranking, p5_judged, p6_found, p7_found, p8_containers, p8_summary, p9_found, p9_paraphrases, p10_found, p10_restored)
 }
 
 SQL: dict[str, str] = {
