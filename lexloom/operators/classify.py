@@ -19,14 +19,13 @@ def both_cases(letters: str) -> str:
     return "".join(sorted({c for ch in letters for c in (ch, ch.lower(), ch.upper()) if len(c) == 1}))
 
 
-def classify_word(word: Column, letters: str = "") -> Column:
-    """CLEAN, UNK or IGNORE for a word, by its numbers of letters, digits, dots and other characters. `letters` is the
-    alphabet (both cases); without it the general categories decide. Blanks only count for the length."""
+def _rest(word: Column, letters: str) -> Column:
+    """The word without its letters: those of the alphabet, or by category where there is none."""
+    return X.remove(word, letters) if letters else F.regexp_replace(word, rf"[{X.LETTER}]", "")
+
+
+def _class(word: Column, rest: Column, blanks: Column, digit: Column, punct: Column) -> Column:
     n = F.length(word)
-    rest = X.remove(word, letters) if letters else F.regexp_replace(word, rf"[{X.LETTER}]", "")
-    blanks = F.regexp_count(rest, F.lit(rf"[{X.SPACE}]"))
-    digit = F.regexp_count(rest, F.lit(rf"{X.DIGIT}"))
-    punct = F.regexp_count(rest, F.lit(r"\." if letters else X.PUNCT))
     letter = n - F.length(rest)
     out = F.length(rest) - blanks - digit - punct
     known = (letter + digit) / n
@@ -35,14 +34,25 @@ def classify_word(word: Column, letters: str = "") -> Column:
     return F.when((n < 2) | X.is_roman(word) | (digit == n) | (digit >= letter + out), IGNORE).when(clean, CLEAN).otherwise(UNK)
 
 
-def classify_part(part: Column, letters: str = "") -> Column:
-    """struct(cls, form): a part that is clean once its edges are stripped is PUNCT, `form` being the stripped part;
-    `form` is empty for other classes."""
-    bare = X.strip_edges(part)
-    inner = classify_word(bare, letters)
-    stripped = F.when(bare == "", F.when(F.length(part) < 3, IGNORE).otherwise(UNK)).when(inner == CLEAN, PUNCT).otherwise(inner)
-    cls = F.when(X.has_edges(part), stripped).otherwise(classify_word(part, letters))
-    return F.struct(cls.alias("cls"), F.when(cls == PUNCT, bare).otherwise(F.lit("")).alias("form"))
+def with_word_class(rows: DataFrame, word: str, out: str, letters: str = "") -> DataFrame:
+    """`rows` with CLEAN, UNK or IGNORE for a word, by its numbers of letters, digits, dots (punctuation without an
+    alphabet) and other characters. `letters` is the alphabet in both cases. Blanks only count for the length. Counted in
+    steps, so that no count is computed twice."""
+    rest = F.col("_rest")
+    rows = rows.withColumn("_rest", _rest(F.col(word), letters))
+    rows = rows.withColumns({"_blanks": F.regexp_count(rest, F.lit(rf"[{X.SPACE}]")), "_digit": F.regexp_count(rest, F.lit(X.DIGIT)), "_punct": F.regexp_count(rest, F.lit(r"\." if letters else X.PUNCT))})
+    return rows.withColumn(out, _class(F.col(word), rest, F.col("_blanks"), F.col("_digit"), F.col("_punct"))).drop("_rest", "_blanks", "_digit", "_punct")
+
+
+def with_part_class(rows: DataFrame, part: str, letters: str = "") -> DataFrame:
+    """`rows` with `cls` and `form`: a part that is clean once its edges are stripped is PUNCT, `form` being the stripped
+    part; `form` is empty for other classes."""
+    rows = rows.withColumn("_bare", X.strip_edges(part)).withColumn("_edged", X.has_edges(part))
+    # Without edges the stripped part is the part itself, so one classification serves both cases.
+    rows = with_word_class(rows, "_bare", "_inner", letters)
+    stripped = F.when(F.col("_bare") == "", F.when(F.length(part) < 3, IGNORE).otherwise(UNK)).when(F.col("_inner") == CLEAN, PUNCT).otherwise(F.col("_inner"))
+    rows = rows.withColumn("cls", F.when(F.col("_edged"), stripped).otherwise(F.col("_inner")))
+    return rows.withColumn("form", F.when(F.col("cls") == PUNCT, F.col("_bare")).otherwise(F.lit(""))).drop("_bare", "_edged", "_inner")
 
 
 def fold_classes(parts: Column) -> Column:
@@ -68,19 +78,20 @@ def fold_classes(parts: Column) -> Column:
 
 
 def _classified_parts(words: DataFrame, letters: str, background: DataFrame | None) -> DataFrame:
-    """`words` with `ps`: array of struct(part, cls, form, known)."""
+    """`words` with `ps`: array of struct(pos, part, cls, form, known). Each distinct part is classified and looked up
+    once, whatever the number of words it stands in."""
+    rows = words.select("*", F.posexplode("parts").alias("pos", "part"))
+    parts = with_part_class(words.select(F.explode("parts").alias("part")).distinct(), "part", letters)
     if background is None:
-        return words.withColumn("ps", F.transform("parts", lambda p: F.struct(p.alias("part"), classify_part(p, letters)["cls"].alias("cls"), classify_part(p, letters)["form"].alias("form"), F.lit(0).alias("known"))))
-    # Each distinct part is classified and looked up once, whatever the number of words it stands in.
-    parts = words.select(F.explode("parts").alias("part")).distinct().withColumn("c", classify_part(F.col("part"), letters))
-    known = background.select(F.lower("word").alias("w")).where(F.col("w").isNotNull()).distinct()
-    parts = parts.join(known.withColumn("k1", F.lit(1)), F.lower("part") == F.col("w"), "left").drop("w")
-    parts = parts.join(known.withColumn("k2", F.lit(1)), F.lower("c.form") == F.col("w"), "left").drop("w")
-    parts = parts.select("part", F.when(F.col("k1") == 1, F.struct(F.lit(CLEAN).alias("cls"), F.lit("").alias("form"))).otherwise(F.col("c")).alias("c"), F.coalesce("k1", "k2", F.lit(0)).alias("known"))
-    rows = words.select("*", F.posexplode("parts").alias("pos", "part")).join(parts, "part")
+        parts = parts.withColumn("known", F.lit(0))
+    else:
+        known = background.select(F.lower("word").alias("w")).where(F.col("w").isNotNull()).distinct()
+        parts = parts.join(known.withColumn("k1", F.lit(1)), F.lower("part") == F.col("w"), "left").drop("w")
+        parts = parts.join(known.withColumn("k2", F.lit(1)), F.lower("form") == F.col("w"), "left").drop("w")
+        own = F.col("k1") == 1
+        parts = parts.select("part", F.when(own, CLEAN).otherwise(F.col("cls")).alias("cls"), F.when(own, "").otherwise(F.col("form")).alias("form"), F.coalesce("k1", "k2", F.lit(0)).alias("known"))
     first = [c for c in words.columns if c != "orig"]
-    got = rows.groupBy("orig").agg(*[F.first(c).alias(c) for c in first], F.array_sort(F.collect_list(F.struct("pos", "part", F.col("c.cls").alias("cls"), F.col("c.form").alias("form"), "known"))).alias("ps"))
-    return got
+    return rows.join(parts, "part").groupBy("orig").agg(*[F.first(c).alias(c) for c in first], F.array_sort(F.collect_list(F.struct("pos", "part", "cls", "form", "known"))).alias("ps"))
 
 
 def _route(words: DataFrame, acronyms: bool) -> DataFrame:

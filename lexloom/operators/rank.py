@@ -42,7 +42,8 @@ def complement_counts(counts: DataFrame, confusions: DataFrame, alphabet: dict[s
     sym = [F.element_at(value, F.substring("e", i, 1)) for i in (1, 2, 4, 5)]
     a, b, c, d = sym
     diffs = [F.abs(x - y) for x, y in ((a, c), (a, d), (b, c), (b, d))]
-    long = two.select("kwc", F.posexplode(F.array(*diffs)).alias("i", "k")).where("k is not null")
+    two = two.where(F.isnotnull(a) & F.isnotnull(b) & F.isnotnull(c) & F.isnotnull(d))  # symbols of the alphabet only
+    long = two.select("kwc", F.posexplode(F.array(*diffs)).alias("i", "k"))
     got = long.join(counts.select(F.col("kwc").alias("k"), F.col("pairs1").alias("n")), "k").groupBy("kwc").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))
     n = [F.coalesce(F.element_at("m", F.lit(i)), F.lit(0)) for i in range(4)]
     best = F.greatest(*n[:3])
