@@ -130,10 +130,11 @@ def parse_rules(text: str) -> tuple[tuple[str, str], ...]:
 
 
 def transliterate(c: Column | str, rules: tuple[tuple[str, str], ...] = DEFAULT_RULES) -> Column:
+    """Every rule in turn; a text that none applies to costs one search."""
     out = col(c)
     for pattern, to in rules:
         out = F.regexp_replace(out, pattern, to)
-    return out
+    return F.when(col(c).rlike("|".join(p for p, _ in rules)), out).otherwise(col(c)) if rules else col(c)
 
 
 def split_parts(c: Column | str) -> Column:

@@ -90,8 +90,9 @@ def index_by_difference(keys: DataFrame, values: list[tuple[str, int]], distance
     (861 for 40 symbols and distance 2) instead of the confusions (over 300,000)."""
     sums = sorted({v for _, _, v in multisets(values, distance)})
     k = keys.select("hash").distinct()
-    ahead = k.select("hash", F.explode(F.transform(X.literal(sums, "array<bigint>"), lambda x: F.col("hash") + x)).alias("m"))
-    pairs = ahead.join(ahead.select(F.col("hash").alias("up"), "m"), "m").where("hash < up")
+    # The plan can't know how much explode makes of the keys, so it must be told to shuffle; once, for both sides.
+    ahead = k.select("hash", F.explode(F.transform(X.literal(sums, "array<bigint>"), lambda x: F.col("hash") + x)).alias("m")).repartition("m")
+    pairs = ahead.hint("merge").join(ahead.select(F.col("hash").alias("up"), "m").hint("merge"), "m").where("hash < up")
     return _focus(pairs.select((F.col("up") - F.col("hash")).alias("kwc"), "hash").distinct(), foci_hashes)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import Scratch
 
 CLEAN, UNK, PUNCT, IGNORE = "CLEAN", "UNK", "PUNCT", "IGNORE"
 
@@ -150,6 +151,7 @@ def classify_lexicon(lexicon: DataFrame, *, letters: str = "", background: DataF
         own = spelt.where("tag = 'punct'").select(F.col("orig").alias("o"), F.col("key").alias("k"), F.col("value").alias("v")).where("k = o").select("o", "v")
         named = h.join(own, F.col("word") == F.col("o"), "left").select(F.lit("punct").alias("tag"), F.col("hemp").alias("key"), F.coalesce("v", "word").alias("value"), F.lit(0).alias("lex"), F.lit(1).cast("bigint").alias("freq"), F.col("hemp").alias("orig"))
         rows = rows.unionByName(spelt.where("tag <> 'punct'").unionByName(named).withColumn("turn", F.lit(0)))
+    rows = Scratch(lexicon.sparkSession, "classified").save(rows)  # five tables are made of it
     total, lex = F.sum("freq"), F.max("lex")
     fore = rows.where("tag = 'clean'").groupBy("key").agg((total + F.when((lex == 1) & (total < artifrq), F.lit(artifrq)).otherwise(F.lit(0))).alias("freq")).withColumnRenamed("key", "word")
     unk = rows.where("tag = 'unk'").groupBy(F.col("key").alias("word")).agg(total.alias("freq"))

@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import Scratch
+
+#: Pairs of words that two values may bring before they are made by segments.
+DENSE = 400
 
 COLUMNS = ["variant", "variant_freq", "low_variant_freq", "candidate", "candidate_freq", "low_candidate_freq", "kwc", "ld", "cls", "canon", "fl", "ll", "khc", "ngram_points"]
 
@@ -80,6 +84,48 @@ def _features(artifrq: int) -> list[Column]:
     ]
 
 
+def _segment(length: Column, i: Column, distance: int) -> tuple[Column, Column]:
+    """(start, length) of the i-th of distance + 1 segments of a word of a length, the longer ones last. Two words within
+    the distance share one of them."""
+    n = distance + 1
+    short = F.floor(length / n)
+    first_long = n - (length - short * n)
+    return (i * short + F.greatest(F.lit(0), i - first_long) + 1).cast("int"), (short + F.when(i >= first_long, 1).otherwise(0)).cast("int")
+
+
+def _joined(index: DataFrame, first: DataFrame, second: DataFrame, distance: int, excused: Column) -> DataFrame:
+    """The index rows (kwc, hash, khc, diac, h2) with the words w1 of `hash` and w2 of `h2`, as h1, h2, kwc, khc, diac, w1, w2.
+
+    Words of foreign letters fall into few values, so two values may bring millions of pairs. Where they bring more than
+    DENSE, only pairs that agree in one of distance + 1 segments are made: all pairs within the distance do, the segment
+    shifted by at most the distance. Pairs excused from the distance are all made."""
+    sizes = first.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    many = index.join(sizes.withColumnRenamed("n", "n1"), "hash").join(sizes.select(F.col("hash").alias("h2"), F.col("n").alias("n2")), "h2")
+    many = Scratch(index.sparkSession, "dense").save(many.withColumn("dense", (F.col("n1") * F.col("n2") > DENSE) & ~excused))
+    keep = ["kwc", "khc", "diac", "hash", "h2"]
+    cold = many.where("not dense").select(*keep).join(first, "hash").join(second, "h2").select(*keep, "w1", "w2").withColumnRenamed("hash", "h1")
+    dense = many.where("dense").select(*keep)
+    if dense.isEmpty():
+        return cold
+
+    n = F.length(F.lower("w1"))
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(distance)), lambda i: F.struct(i.alias("i"), n.alias("len"), F.substring(F.lower("w1"), *_segment(n, i, distance)).alias("piece")))
+    left = dense.join(first, "hash").select("*", F.inline(pieces))
+
+    def cut(i: Column, by: Column, shift: Column) -> Column:
+        other = F.length("w2low") + by
+        start, size = _segment(other, i, distance)
+        at = start + shift
+        return F.when((other > 0) & (at >= 1) & (at + size - 1 <= F.length("w2low")), F.struct(i.alias("i"), other.alias("len"), F.substring("w2low", at, size).alias("piece")))
+
+    around = F.sequence(F.lit(-distance), F.lit(distance))
+    cuts = F.flatten(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(distance)), lambda i: F.transform(around, lambda by: F.transform(around, lambda shift: cut(i, by, shift))))))
+    wanted = second.join(dense.select("h2").distinct(), "h2").withColumn("w2low", F.lower("w2"))
+    right = wanted.select("h2", "w2", F.inline(F.array_distinct(F.filter(cuts, lambda x: x.isNotNull()))))
+    hot = left.join(right, ["h2", "i", "len", "piece"]).select(*keep, "w1", "w2").distinct()
+    return cold.unionByName(hot.withColumnRenamed("hash", "h1"))
+
+
 def find_pairs(index: DataFrame, anagrams: DataFrame, clean: DataFrame, *, artifrq: int, distance: int = 2, low_length: int = 5, high_length: int = 35,
                letters: str = "", historical: DataFrame | None = None, diacritic: DataFrame | None = None, no_hld: bool = False) -> Pairs:
     """The pairs of an index (kwc, hash) over an anagram table (hash, word) and a vocabulary (word, freq).
@@ -106,14 +152,13 @@ def find_pairs(index: DataFrame, anagrams: DataFrame, clean: DataFrame, *, artif
     first = words.select("hash", F.col("word").alias("w1"))
     second = words.select(F.col("hash").alias("h2"), F.col("word").alias("w2"))
     excused = F.col("khc") & F.lit(no_hld)
-    near = flags.join(first, "hash").withColumn("h2", F.col("hash") + F.col("kwc")).join(second, "h2").withColumnRenamed("hash", "h1")
+    near = _joined(flags.withColumn("h2", F.col("hash") + F.col("kwc")), first, second, distance, excused)
     near = near.withColumn("ld", F.levenshtein(F.lower("w1"), F.lower("w2"))).where((F.col("ld") <= distance) | excused)
     near = _oriented(_with_freqs(near, clean, low)).where(_acceptable(artifrq, letters))
     kept, parts = _split(near, artifrq, low)
     if distance >= 2:
         keys = flags.groupBy("hash").agg(F.min_by(F.struct("khc", "diac"), "kwc").alias("s")).select("hash", "s.khc", "s.diac")
-        same = keys.join(first, "hash").join(second.withColumnRenamed("h2", "hash"), "hash").where("w1 < w2")
-        same = same.select(F.col("hash").alias("h1"), F.col("hash").alias("h2"), F.lit(0).cast("bigint").alias("kwc"), "khc", "diac", "w1", "w2")
+        same = _joined(keys.select(F.lit(0).cast("bigint").alias("kwc"), "hash", "khc", "diac", F.col("hash").alias("h2")), first, second, 2, excused).where("w1 < w2")
         same = _oriented(_with_freqs(same, clean, low)).where(_acceptable(artifrq, letters) & (F.col("l2") >= artifrq))
         mirrored, more = _split(same, artifrq, low)
         mirrored = mirrored.withColumn("ld", F.levenshtein(F.lower("w1"), F.lower("w2"))).where((F.col("ld") == 2) | (F.col("khc") & F.lit(no_hld)))
