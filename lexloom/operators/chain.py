@@ -29,7 +29,7 @@ def roots(edges: DataFrame) -> DataFrame:
     needs log n joins. A cycle is an error."""
     scratch = Scratch(edges.sparkSession, "chain")
     at = scratch.save(edges.select("word", F.col("head").alias("root")))
-    for _ in range(MAX_STEPS):
+    for _ in range(at.count().bit_length() + 1):  # after so many doublings every chain has ended
         up = at.select(F.col("word").alias("_w"), F.col("root").alias("_r"))
         new = scratch.save(at.join(up, F.col("root") == F.col("_w"), "left").select("word", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")))
         if new.where("word = root").limit(1).count():

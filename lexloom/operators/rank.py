@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import Scratch
 
 FEATURES = ("freq_digits", "freq", "ld", "cls", "canon", "fl", "ll", "khc", "pairs1", "pairs2", "median", "lower_count", "cosine", "ngram_points")
 #: Features ranked densely, descending but for the distance; the others have fixed ranks.
@@ -96,10 +97,12 @@ def feature_ranks(rows: DataFrame) -> DataFrame:
     if hot:
         h = rows.where(F.col("variant").isin(hot))
         lower = h.groupBy("variant", "_low").agg(F.count(F.lit(1)).alias("lower_count"))
-        h = h.join(lower, ["variant", "_low"])
+        # Written once: nine tables of distinct values are made of it, and joined to it.
+        base = Scratch(rows.sparkSession, "hot").save(h.join(lower, ["variant", "_low"]))
+        h = base
         for c in DENSE:
-            ranks = h.select("variant", c).distinct().withColumn(f"{c}_rank", F.dense_rank().over(w.orderBy(_order(c))))
-            h = h.join(ranks, (h["variant"] == ranks["variant"]) & h[c].eqNullSafe(ranks[c])).drop(ranks["variant"]).drop(ranks[c])
+            ranks = base.select(F.col("variant").alias("_g"), F.col(c).alias("_v")).distinct().withColumn(f"{c}_rank", F.dense_rank().over(Window.partitionBy("_g").orderBy(F.asc("_v") if c == "ld" else F.desc("_v"))))
+            h = h.join(ranks, (F.col("variant") == F.col("_g")) & F.col(c).eqNullSafe(F.col("_v"))).drop("_g", "_v")
         out = cold.unionByName(h.select(*cold.columns))
     return out.select("*", *[_fixed(c).alias(f"{c}_rank") for c in FEATURES if c not in DENSE]).drop("_low")
 

@@ -148,14 +148,14 @@ def load_records(df: DataFrame, line: str, fields: list[Field], *, least: int |
 
     One leading byte-order mark and one trailing carriage return are dropped first. Null lines, lines of spaces and tabs
     only, and lines that begin with `comment` give no row. Empty fields are dropped. From `least` to all fields must be
-    there (`least` defaults to all); missing ones are null. Columns of `df` must not bear the names of the fields; the
-    order and number of the other columns don't matter, an empty table gives no rows.
+    there (`least` defaults to all); missing ones are null. Columns of `df` named like a column of the result are left
+    out of it; an empty table gives no rows.
     """
-    clash = {f.name for f in fields} & set(df.columns)
-    if clash:
-        raise ValueError(f"fields named like columns: {sorted(clash)}")
+    taken = {f.name for f in fields} | {"_reason", "_offset", "_fields", "_line"}
+    others = [c for c in df.columns if c not in taken]
+    df = df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{line}`").alias("_line"))
     least = len(fields) if least is None else least
-    clean = F.regexp_replace(F.regexp_replace(F.col(f"`{line}`"), r"\A\x{FEFF}", ""), r"\r\z", "")
+    clean = F.regexp_replace(F.regexp_replace(F.col("_line"), r"\A\x{FEFF}", ""), r"\r\z", "")
     rows = df.withColumn("_line", clean).where(F.col("_line").isNotNull() & ~F.col("_line").rlike(r"\A[ \t]*\z"))
     if comment:
         rows = rows.where(~F.col("_line").startswith(comment))
@@ -166,4 +166,4 @@ def load_records(df: DataFrame, line: str, fields: list[Field], *, least: int |
     rows = rows.withColumn("_reason", F.coalesce("_reason", count, *faults))
     good = F.col("_reason").isNull()
     typed = [F.when(good, f.value(F.get("_fields", F.lit(i)))).alias(f.name) for i, f in enumerate(fields)]
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], *typed, "_reason", "_offset")
+    return rows.select(*[F.col(f"`{c}`") for c in others], *typed, "_reason", "_offset")
