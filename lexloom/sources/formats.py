@@ -36,7 +36,7 @@ def lines(spark: SparkSession, path: str | list[str], *, recursive: bool = False
 
 def documents(spark: SparkSession, path: str | list[str], *, recursive: bool = False, pattern: str | None = None) -> DataFrame:
     """(file, text): whole files in composed form."""
-    rows = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    rows = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
     rows = rows.where(F.col("file").rlike(pattern)) if pattern else rows
     return rows.withColumn("text", composed("text"))
 
