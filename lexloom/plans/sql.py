@@ -154,7 +154,29 @@ def _class(word: str, letters: bool = True) -> str:
 _HEAD, _TAIL = rf"length(regexp_extract(word, '^(?:{_EDGE}|-[^\p{{Lu}}\p{{Ll}}])+'))", rf"length(regexp_extract(word, '(?:{_EDGE}|[^\p{{Lu}}\p{{Ll}}]-)+$'))"
 _STRIPPED = f"CASE WHEN {_HEAD} + {_TAIL} < length(word) THEN substr(word, {_HEAD} + 1, length(word) - {_HEAD} - {_TAIL}) ELSE '' END"
 
+_PLAIN = rf"""regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(word, 'Œ(\p{{Lu}})', 'OE\1', 'g'), 'Œ', 'Oe'), 'ß', 'ss'), 'œ', 'oe'), '[~#]', '*', 'g'), '[\-\x{{AD}}\x{{2010}}-\x{{2015}}\x{{2212}}]+', '-', 'g'), '[•·]', '.', 'g').replace(chr(160), '_').replace('æ', 'ae').replace('Æ', 'AE').replace('ĳ', 'ij').replace('Ĳ', 'IJ').replace('ﬁ', 'fi').replace('ﬂ', 'fl').replace('ﬀ', 'ff')"""
+_GLUED = rf"""list_transform(p, lambda x, i: CASE WHEN i = 1 AND word LIKE '\_%' ESCAPE '\' THEN '_' ELSE '' END || x || CASE WHEN i = len(p) AND word LIKE '%\_' ESCAPE '\' THEN '_' ELSE '' END)"""
+# Classification: words to parts, distinct parts to classes, classes folded into the word's, rows for the tables.
+_CLASSIFIED = rf"""{_LIST}, norm AS (SELECT word AS orig, freq, {_PLAIN} AS word FROM list), cut AS (SELECT *, list_filter(string_split(word, '_'), lambda x: x <> '') AS p FROM norm),
+    glued AS (SELECT orig, freq, word, {_GLUED} AS parts FROM cut WHERE len(p) > 0 AND NOT (len(p) = 2 AND length(word) < 6) AND NOT (len(p) = 3 AND length(word) < 8)),
+    piece AS (SELECT DISTINCT unnest(parts) AS word FROM glued), s AS (SELECT word, {_STRIPPED} AS bare, {_HEAD} + {_TAIL} > 0 AS edged FROM piece),
+    k AS (SELECT word, bare, edged, {_class('word')} AS own, {_class('bare')} AS inner_ FROM s),
+    pc AS (SELECT word AS part, bare, CASE WHEN NOT edged THEN own WHEN bare = '' THEN CASE WHEN length(word) < 3 THEN 'IGNORE' ELSE 'UNK' END WHEN inner_ = 'CLEAN' THEN 'PUNCT' ELSE inner_ END AS cls FROM k),
+    each AS (SELECT orig, freq, word, parts, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM glued),
+    folded AS (SELECT orig, any_value(freq) AS freq, any_value(word) AS word, any_value(parts) AS parts, string_agg(CASE WHEN cls = 'PUNCT' THEN bare ELSE part END, '_' ORDER BY i) AS final,
+        list(CASE WHEN len(parts) > 1 AND length(part) = 1 AND NOT regexp_matches(part, '^[a-zA-Z0-9-]$') THEN 'LONE' WHEN i = 2 AND part = '-' AND len(parts) > 2 AND cls = 'IGNORE' THEN 'HYPHEN' ELSE cls END ORDER BY i) AS cs FROM each JOIN pc USING (part) GROUP BY orig),
+    word_class AS (SELECT *, list_reduce(cs, lambda st, x: CASE WHEN st IN ('IGNORE', 'LONE', 'UNK') OR x IN ('LONE', 'IGNORE') THEN 'IGNORE' WHEN x = 'HYPHEN' THEN CASE WHEN st = 'CLEAN' THEN 'CLEAN' ELSE 'IGNORE' END
+        WHEN st = 'CLEAN' AND x = 'UNK' THEN 'IGNORE' WHEN st = 'PUNCT' OR x = 'PUNCT' THEN 'PUNCT' ELSE 'CLEAN' END) AS cl FROM folded),
+    named AS (SELECT *, regexp_matches(CASE WHEN cl = 'PUNCT' THEN final ELSE word END, '^(\p{{Lu}}{{1,2}}\.{{1,2}}(\p{{Lu}}{{1,2}}\.{{1,2}})*)(\p{{Lu}}{{0,2}})$') AS dotted,
+        list_sort(list_distinct(list_filter(list_transform(range(1, len(parts)), lambda i: regexp_extract(parts[i] || '_' || parts[i + 1], '^(?:de|het|een)_(\p{{Lu}}+)-?\p{{L}}*$', 1)), lambda x: x <> ''))) AS heads FROM word_class WHERE cl IN ('CLEAN', 'UNK', 'PUNCT')),
+    routed AS (SELECT 'clean' AS tag, CASE WHEN cl = 'PUNCT' AND NOT dotted THEN final ELSE word END AS key, NULL AS value, freq, orig FROM named WHERE cl = 'CLEAN' OR dotted OR (cl = 'PUNCT' AND len(heads) = 0)
+        UNION ALL SELECT 'punct', orig, word, freq, orig FROM named WHERE cl = 'CLEAN' AND word <> orig UNION ALL SELECT 'punct', final, word, freq, orig FROM named WHERE cl = 'PUNCT' AND dotted
+        UNION ALL SELECT 'punct', orig, final, freq, orig FROM named WHERE cl = 'PUNCT' AND NOT dotted AND len(heads) = 0 UNION ALL SELECT 'unk', orig, NULL, freq, orig FROM named WHERE cl = 'UNK' AND NOT dotted AND len(heads) = 0)"""
+
 SQL: dict[str, str] = {
+    "classify_clean": f"WITH {_CLASSIFIED} SELECT key AS word, CAST(sum(freq) AS BIGINT) AS freq FROM routed WHERE tag = 'clean' GROUP BY key",
+    "classify_unk": f"WITH {_CLASSIFIED} SELECT key AS word, CAST(sum(freq) AS BIGINT) AS freq FROM routed WHERE tag = 'unk' GROUP BY key",
+    "classify_punct": f"WITH {_CLASSIFIED} SELECT key AS word, arg_max(value, orig) AS form FROM routed WHERE tag = 'punct' GROUP BY key",
     "p4_found": f"SELECT 'fillalphabet' AS src, line_id FROM ({_RAW_A} SELECT line_id FROM cut WHERE NOT ({_ALPHABET_OK})) UNION ALL SELECT 'read_backgound', line_id FROM ({_RAW_B} SELECT line_id FROM cut WHERE NOT ({_BACKGROUND_OK}))",
     "p4_alphabet": f"{_RAW_A} SELECT line_id, f[1] AS ch, CAST(f[2] AS BIGINT) AS freq, CAST(f[3] AS BIGINT) AS hash FROM cut WHERE {_ALPHABET_OK}",
     "p4_background": f"{_RAW_B} SELECT line_id, f[1] AS word, CAST(f[2] AS BIGINT) AS freq FROM cut WHERE {_BACKGROUND_OK}",
@@ -183,8 +205,8 @@ SQL: dict[str, str] = {
     "text_functions": rf"""WITH {_LIST}, x AS (SELECT word, list_filter(string_split(word, '_'), lambda x: x <> '') AS p FROM list)
         SELECT word, regexp_matches(word, '^M{{0,4}}(CM|CD|D?C{{0,3}})(XC|XL|L?X{{0,3}})(IX|IV|V?I{{0,3}})$') AS roman, regexp_matches(word, '^(\p{{Lu}}{{1,2}}\.{{1,2}}(\p{{Lu}}{{1,2}}\.{{1,2}})*)(\p{{Lu}}{{0,2}})$') AS dotted,
         regexp_replace(word, '\p{{P}}', '', 'g') AS no_punct, translate(word, '~#', '__') AS no_tilde, {_STRIPPED} AS stripped,
-        regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(word, 'Œ(\p{{Lu}})', 'OE\1', 'g'), 'Œ', 'Oe'), 'ß', 'ss'), 'œ', 'oe'), '[~#]', '*', 'g'), '[\-\x{{AD}}\x{{2010}}-\x{{2015}}\x{{2212}}]+', '-', 'g'), '[•·]', '.', 'g').replace(chr(160), '_').replace('æ', 'ae').replace('Æ', 'AE').replace('ĳ', 'ij').replace('Ĳ', 'IJ').replace('ﬁ', 'fi').replace('ﬂ', 'fl').replace('ﬀ', 'ff') AS plain,
-        array_to_string(list_transform(p, lambda x, i: CASE WHEN i = 1 AND word LIKE '\_%' ESCAPE '\' THEN '_' ELSE '' END || x || CASE WHEN i = len(p) AND word LIKE '%\_' ESCAPE '\' THEN '_' ELSE '' END), '|') AS parts,
+        {_PLAIN} AS plain,
+        array_to_string({_GLUED}, '|') AS parts,
         array_to_string(list_filter(string_split_regex(word, '[_-]'), lambda x: x <> ''), '|') AS dash_parts FROM x""",
     "accents_stripped": f"WITH {_VOC} SELECT word, strip_accents(word) AS plain FROM voc",
     "fifth_powers": "SELECT p_partkey, CAST((p_partkey % 3000) * (p_partkey % 3000) * (p_partkey % 3000) * (p_partkey % 3000) * (p_partkey % 3000) AS BIGINT) AS fifth FROM part",
