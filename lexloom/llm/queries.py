@@ -140,3 +140,25 @@ def _p5_sql() -> str:
 
 
 SQL["p5_ranking"] = _p5_sql()
+
+SQL["p2_found"] = """
+    WITH RECURSIVE edges AS (SELECT variant AS a, candidate AS b FROM rank_record WHERE variant IS NOT NULL AND candidate IS NOT NULL UNION SELECT candidate, variant FROM rank_record WHERE variant IS NOT NULL AND candidate IS NOT NULL),
+    cc(id, comp) USING KEY (id) AS (SELECT DISTINCT a, a FROM edges
+        UNION (SELECT DISTINCT ON (u.id) u.id, v.comp FROM recurring.cc AS u JOIN edges e ON u.id = e.a JOIN cc AS v ON e.b = v.id WHERE v.comp < u.comp ORDER BY u.id, v.comp))
+    SELECT comp AS group_word, id AS word FROM cc WHERE comp < id"""
+
+# Full-width forms by their offset, Roman numerals, ligatures and look-alikes one by one.
+SQL["p6_found"] = """
+    WITH seen AS (SELECT variant AS t FROM rank_record WHERE variant IS NOT NULL UNION SELECT lower_candidate FROM rank_record WHERE lower_candidate IS NOT NULL),
+    wide AS (SELECT string_agg(chr(CAST(65248 + k AS INT)), '' ORDER BY k) AS a, string_agg(chr(CAST(k AS INT)), '' ORDER BY k) AS b FROM (SELECT unnest(range(33, 127)) AS k)),
+    bare AS (SELECT t, regexp_replace(regexp_replace(t, '[\\x{AD}\\x{34F}\\x{61C}\\x{180B}-\\x{180F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FE00}-\\x{FE0F}\\x{FEFF}]', '', 'g'), '[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]', ' ', 'g') AS x FROM seen),
+    form AS (SELECT t, nfc_normalize(translate(translate(x.replace(chr(64256), 'ff').replace(chr(64257), 'fi').replace(chr(64258), 'fl').replace(chr(64259), 'ffi').replace(chr(64260), 'ffl'), (SELECT a FROM wide), (SELECT b FROM wide)),
+        'ⅰⅴⅹⅼⅽⅾⅿⅠⅤⅩⅬⅭⅮⅯ' || 'АВЕЅІЈКМНОРСТУХаеѕіјорсухһёїӧӓ' || 'ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ', 'ivxlcdmIVXLCDM' || 'ABESIJKMHOPCTYXaesijopcyxhëïöä' || 'ABEZHIKMNOPTYXovp')) AS f FROM bare)
+    SELECT a.t AS text_a, b.t AS text_b FROM form a JOIN form b ON a.f = b.f AND a.t < b.t"""
+
+SQL["p9_found"] = """
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '[\\x{AD}\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]', '', 'g'))), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+    i AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '[\\x{AD}\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]', '', 'g'))), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+    ig AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS g FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+    dg AS (SELECT doc_id, n, array_to_string(w[k : k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d JOIN (SELECT DISTINCT n FROM ig) ON len(w) >= n))
+    SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, g)"""
