@@ -124,10 +124,12 @@ def _route(words: DataFrame, acronyms: bool) -> DataFrame:
     return rows.select("r.tag", "r.key", "r.value", "r.lex", "freq", "orig")
 
 
-def _words(lexicon: DataFrame, rules: tuple) -> DataFrame:
+def _words(lexicon: DataFrame, rules: tuple, scratch: Scratch) -> DataFrame:
     w = lexicon.select(F.col("word").alias("orig"), F.coalesce(F.col("freq").cast("bigint"), F.lit(0)).alias("freq")).where("orig is not null")
     w = w.groupBy("orig").agg(F.max("freq").alias("freq")) if "pos" not in lexicon.columns else lexicon.where("word is not null").groupBy(F.col("word").alias("orig")).agg(F.max_by(F.col("freq").cast("bigint"), "pos").alias("freq"))
-    w = w.withColumn("word", X.transliterate("orig", rules)).withColumn("parts", X.split_parts("word"))
+    # Written between the steps: the rules are long, and each later use of the word would repeat them in the plan.
+    w = scratch.save(w.withColumn("word", X.transliterate("orig", rules)))
+    w = scratch.save(w.withColumn("parts", X.split_parts("word")))
     n = F.size("parts")
     return w.where((n > 0) & ~((n == 2) & (F.length("word") < 6)) & ~((n == 3) & (F.length("word") < 8)))
 
@@ -144,14 +146,16 @@ def classify_lexicon(lexicon: DataFrame, *, letters: str = "", background: DataF
     """
     if background is not None and artifrq <= 0:
         raise ValueError("a background lexicon needs artifrq")
-    rows = _route(_classified_parts(_words(lexicon, rules), letters, background), acronyms).withColumn("turn", F.lit(1))
+    scratch = Scratch(lexicon.sparkSession, "classified")
+    words = _words(lexicon, rules, scratch)
+    rows = _route(_classified_parts(words, letters, background), acronyms).withColumn("turn", F.lit(1))
     if hemps is not None:
         h = hemps.where("word is not null").select(F.col("word").alias("hemp"), F.translate("word", X.SEPARATOR, "").alias("word"))
-        spelt = _route(_classified_parts(_words(h.select("word", F.lit(1).alias("freq")).distinct(), rules), letters, None), acronyms)
+        spelt = _route(_classified_parts(_words(h.select("word", F.lit(1).alias("freq")).distinct(), rules, scratch), letters, None), acronyms)
         own = spelt.where("tag = 'punct'").select(F.col("orig").alias("o"), F.col("key").alias("k"), F.col("value").alias("v")).where("k = o").select("o", "v")
         named = h.join(own, F.col("word") == F.col("o"), "left").select(F.lit("punct").alias("tag"), F.col("hemp").alias("key"), F.coalesce("v", "word").alias("value"), F.lit(0).alias("lex"), F.lit(1).cast("bigint").alias("freq"), F.col("hemp").alias("orig"))
         rows = rows.unionByName(spelt.where("tag <> 'punct'").unionByName(named).withColumn("turn", F.lit(0)))
-    rows = Scratch(lexicon.sparkSession, "classified").save(rows)  # five tables are made of it
+    rows = scratch.save(rows)  # five tables are made of it
     total, lex = F.sum("freq"), F.max("lex")
     fore = rows.where("tag = 'clean'").groupBy("key").agg((total + F.when((lex == 1) & (total < artifrq), F.lit(artifrq)).otherwise(F.lit(0))).alias("freq")).withColumnRenamed("key", "word")
     unk = rows.where("tag = 'unk'").groupBy(F.col("key").alias("word")).agg(total.alias("freq"))
