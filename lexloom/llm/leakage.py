@@ -3,7 +3,8 @@
 1. Evaluation items are taken in blocks of BLOCK_ITEMS, so all that is shared with the tasks is bounded. Their words are
    the block's vocabulary: no other word can add to the similarity of a passage to an item.
 2. One pass over the corpus tokenizes every text, counts the documents of each vocabulary word, and keeps the passages
-   (WINDOW words every STRIDE words) that could hold a leak at all.
+   (WINDOW words every STRIDE words) that could hold a leak at all: a run of item words or, for paraphrases, as many words
+   of one item passage as its longest common subsequence must have.
 3. A randomised SVD of the items' TF-IDF passages, the weights being of the whole corpus, is computed in two distributed
    passes over them: random projection, and one power iteration, each adding up the tasks' partial products.
 4. Corpus passages are projected into the latent space and compared with the items' passages; those of a cosine of
@@ -14,6 +15,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -31,6 +33,8 @@ WINDOW, STRIDE = 32, 16
 RUN = 13
 BLOCK_ITEMS = 500
 RANK, OVERSAMPLE = 448, 32
+#: Halves of passages of a text whose words are counted at a time.
+HALVES = 256
 LEAST_COSINE = 0.12
 #: Weights lie between 1 and TOP_WEIGHT, so that a run of common words isn't outweighed by rare ones beside it.
 TOP_WEIGHT = 2.0
@@ -61,6 +65,15 @@ class Block:
         self.shortest = min((len(ws) for _, ws in self.items), default=run)
         self.passages = [(i, part) for i, ws in self.items for part in windows(ws)]
 
+    def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, n, passages): the passages that hold word w are passages[first[w] : first[w] + n[w]]. The last word is
+        any that no item has; it is in no passage."""
+        words = [np.unique(p) for _, p in self.passages]
+        flat = np.concatenate(words)
+        n = np.bincount(flat, minlength=len(self.vocabulary) + 1)
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        return np.cumsum(n) - n, n, owner[np.argsort(flat, kind="stable")]
+
     def grams(self) -> dict[int, dict[bytes, set[int]]]:
         """Length -> run of words -> the items that hold it."""
         out: dict[int, dict[bytes, set[int]]] = defaultdict(lambda: defaultdict(set))
@@ -83,25 +96,49 @@ def _runs(flags: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(sums[n:] - sums[:-n] == n)
 
 
-def _scan(block: Block, share: float | None):
-    """Rows (doc, at, ids, null) of passages and (null, null, ids, counts) of a batch's document frequencies."""
+def _holding(block: Block, least_lcs: float):
+    """Where the windows of a text begin that have `least_lcs` of the words of an item's passage, whatever their order. The
+    longest common subsequence can't be longer, so no passage that reaches it is lost, however much else is in the window."""
+    first, n, passages = block.postings()
+    need = np.array([max(1, math.ceil(least_lcs * len(p) - 1e-9)) for _, p in block.passages])
+    shortest, size = need.min(), len(need)
+
+    def starts(ids: np.ndarray) -> np.ndarray:
+        last = max(1, len(ids) - STRIDE)
+        known = np.concatenate([[0], np.cumsum(ids >= 0)])
+        at = np.arange(0, last, STRIDE)
+        good = known[np.minimum(at + WINDOW, len(ids))] - known[at] >= shortest
+        for lo in range(0, len(at), HALVES):  # a window is two halves of STRIDE words
+            if not good[lo : lo + HALVES].any():
+                continue
+            part = ids[lo * STRIDE : (lo + HALVES + 1) * STRIDE]
+            many = n[part]
+            ends = np.cumsum(many)
+            which = passages[np.repeat(first[part] - ends + many, many) + np.arange(ends[-1])]
+            half = np.repeat(np.arange(len(part)) // STRIDE, many)
+            counts = np.bincount(half * size + which, minlength=(HALVES + 1) * size if len(at) > HALVES else (len(at) + 1) * size).reshape(-1, size)
+            held = (counts[:-1] + counts[1:] >= need).any(axis=1)
+            good[lo : lo + HALVES] &= held[: len(good[lo : lo + HALVES])]
+        return at[good]
+
+    return starts
+
+
+def _scan(block: Block, least_lcs: float | None):
+    """Rows (doc, at, ids, null) of passages and (null, null, ids, counts) of a batch's document frequencies. Without
+    `least_lcs`, the passages with a run of item words."""
     number = block.vocabulary.get
     is_short = np.zeros(len(block.vocabulary) + 1, dtype=bool)
     is_short[block.short] = True
 
-    def starts(ids: np.ndarray) -> np.ndarray:
-        if share is not None:
-            last = max(1, len(ids) - STRIDE)
-            known = np.concatenate([[0], np.cumsum(ids >= 0)])
-            at = np.arange(0, last, STRIDE)
-            ends = np.minimum(at + WINDOW, len(ids))
-            n = known[ends] - known[at]
-            return at[(n >= share * (ends - at)) & (n >= min(block.shortest, block.run))]
+    def with_runs(ids: np.ndarray) -> np.ndarray:
         found = _runs(ids >= 0, block.run)
         if block.shortest < block.run:
             found = np.concatenate([found, _runs(is_short[ids], block.shortest)])
         return np.unique(found // STRIDE) * STRIDE
 
+    starts = with_runs if least_lcs is None else _holding(block, least_lcs)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             docs, ats, parts = [], [], []
@@ -222,12 +259,12 @@ def _candidates(block: Block, weight: np.ndarray, space: np.ndarray, least: floa
 
 
 def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, *, exact: bool = True, run: int = RUN,
-                 least_cosine: float | None = None, least_lcs: float = 0.6, share: float = 0.8, rank: int = RANK) -> DataFrame:
+                 least_cosine: float | None = None, least_lcs: float = 0.6, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, cosine[, lcs]) of every document with a passage of an item.
 
     `exact`: document and item share `run` words in a row, or all words of a shorter item; `cosine` is the largest of the
-    passages that show it. Otherwise passages with `share` of their words known to the items, a cosine of `least_cosine`
-    and a longest common subsequence of `least_lcs` of the item's passage: paraphrases, and leaks as they stand.
+    passages that show it. Otherwise passages with a cosine of `least_cosine` and a longest common subsequence of
+    `least_lcs` of the item's passage: paraphrases, and leaks as they stand, of short items in other text, too.
 
     Null and empty texts hold nothing, items without a word leak nowhere, ids must be unique and not null. Further
     columns are not read; empty tables give no rows. Whole texts are read, whatever their length.
@@ -251,7 +288,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
         block = Block([(r.i, words_of(r.t)) for r in rows], run)
         if not block.items:
             continue
-        scanned = scratch.save(texts.mapInPandas(_scan(block, None if exact else share), f"i {kind}, at int, ids array<int>, n array<bigint>"))
+        scanned = scratch.save(texts.mapInPandas(_scan(block, None if exact else least_lcs), f"i {kind}, at int, ids array<int>, n array<bigint>"))
         weight = np.full(len(block.vocabulary), TOP_WEIGHT, dtype=np.float32)
         counts = scanned.where("n is not null").select(F.explode(F.arrays_zip("ids", "n")).alias("z")).groupBy("z.ids").agg(F.sum("z.n").alias("n")).collect()
         for r in counts:  # a row for each word of the block at most

@@ -328,6 +328,31 @@ def test_paraphrases(spark):
     assert LK.common_subsequence(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 1])) == 2
 
 
+def test_paraphrases_in_longer_texts(spark):
+    other = lambda n, k: [f"o{k}x{i}" for i in range(n)]
+    short, long = [f"s{i}" for i in range(9)], [f"t{i}" for i in range(30)]
+    changed = [w if i % 10 not in (2, 5, 8) else f"new{i}" for i, w in enumerate(long)]
+    docs = [(1, other(55, 1) + short + other(70, 2)), (2, other(64, 3) + changed + other(40, 4)), (3, other(40, 5) + short[:4] + other(40, 6)), (4, other(200, 7))]
+    items = spark.createDataFrame([(7, " ".join(short)), (8, " ".join(long))], "item bigint, text string")
+    got = LK.leaked_items(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc bigint, text string"), "doc", "text", items, "item", "text", exact=False)
+    assert {(x.doc, x.item): round(x.lcs, 3) for x in got.collect()} == {(1, 7): 1.0, (2, 8): 0.7}
+
+
+@pytest.mark.parametrize("halves", [2, 256])
+def test_no_paraphrase_is_passed_over(halves, monkeypatch):
+    monkeypatch.setattr(LK, "HALVES", halves)
+    r = random.Random(12)
+    block = LK.Block([(i, [f"w{r.randint(0, 60)}" for _ in range(r.choice([3, 8, 20, 70]))]) for i in range(12)], 13)
+    starts, kept = LK._holding(block, 0.6), 0
+    for n in (0, 1, 15, 16, 17, 33, 400):
+        ids = np.array([r.choice([-1, -1, r.randrange(len(block.vocabulary))]) for _ in range(n)], dtype=np.int32)
+        at = starts(ids).tolist()
+        want = [k for k in range(0, max(1, n - 16), 16) if any(sum(w in set(p.tolist()) for w in ids[k : k + 32].tolist()) / len(p) >= 0.6 for _, p in block.passages)]
+        assert at == want
+        kept += len(at)
+    assert kept
+
+
 def test_svd_spans_the_passages(spark):
     r = np.random.default_rng(0)
     parts = [r.integers(0, 60, size=20).astype(np.int32) for _ in range(40)]
