@@ -492,9 +492,10 @@ def chain_cased(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chain_clean(spark: SparkSession, d: str) -> DataFrame:
-    """Chains of the n-gram pairs of the documents, with the records deleted."""
+    """Chains of the n-gram pairs of the documents, with the records deleted. Pairs lead to the more frequent word in lower
+    case, of equals to the smaller value, so chains end without leaving ties out."""
     found = Scratch(spark, "found").save(_ngram_pairs(spark, d).records)
-    kept = R.rank_pairs(found.where("candidate_freq > variant_freq"), clip=1)
+    kept = R.rank_pairs(found, clip=1)
     chained = Scratch(spark, "chained").save(H.chain(kept, T.letters(spark, d)).withColumn("pos", F.monotonically_increasing_id()))
     docs = table(spark, d, "documents")
     return H.clean_chains(chained, L.word_count(docs, "text"), artifrq=50).select("variant", "head", "deleted")
