@@ -397,6 +397,18 @@ def test_no_texts(spark):
     assert MB.garbled_texts(table(spark, [(1, None, "é")], "id bigint, lang string, text string"), "text", "lang", "id").count() == 0
 
 
+def test_every_language_is_kept(spark, monkeypatch):
+    monkeypatch.setattr(MB, "LANGUAGES", 2)
+    polish = "Każdy człowiek ma prawo do życia i wolności, a także do bezpieczeństwa swojej osoby, gdyż są to wartości, które łączą wszystkich ludzi. "
+    dutch = "Een ieder heeft recht op leven, vrijheid en onschendbaarheid van zijn persoon, en geen enkele reünie of scène verandert dat. "
+    rows = [(i, "nl", dutch + str(i)) for i in range(40)] + [(100 + i, k, f"The {k} words are plain, and they are long enough for a sample of this language, as anyone who reads them can see. {i}") for k in ("en", "sv") for i in range(35)]
+    rows += [(200 + i, "pl", polish + str(i)) for i in range(5)] + [(300, "pl", (polish + "x").encode("cp1250").decode("cp1252", "replace"))]
+    df = spark.createDataFrame(rows, "id bigint, lang string, text string")
+    model = MB.fit(df, "text", "lang", "id")
+    assert set(model.dicts) == {"nl", "en", "sv", "pl"} and {"ż", "ł", "ś"} <= model.usual["pl"] and "ë" not in model.usual["pl"] - model.usual["nl"]
+    assert {x.id for x in MB.garbled_texts(df, "text", "lang", "id").collect()} == {300}
+
+
 def test_queries_have_names():
     from lexloom.llm import queries as Q
 
