@@ -26,9 +26,11 @@ def alphabet_build(counts: DataFrame, *, clip: int = -1, separator: str | None =
     first = 103 if separator else 102
     special = [("*", 0, X.FOREIGN_PUNCT), ("$", 0, X.FOREIGN_CHAR)] + ([(separator, 0, X.SEPARATOR_VALUE)] if separator else [])
     kept = counts.where((F.col("freq") >= clip) & ~F.col("ch").rlike(rf"^[{X.SPACE}]$") & ~F.col("ch").isin(*[s[0] for s in special]))
+    if kept.count() > MOST_SYMBOLS:
+        raise ValueError("alphabet too large for 64-bit values")
     # The ordered window holds MOST_SYMBOLS rows at most.
     rank = F.row_number().over(Window.orderBy(F.desc("freq"), F.desc("ch"))) + (first - 1)
-    letters = kept.orderBy(F.desc("freq"), F.desc("ch")).limit(MOST_SYMBOLS).select("ch", "freq", X.fifth_power(rank).alias("hash"))
+    letters = kept.select("ch", "freq", X.fifth_power(rank).alias("hash"))
     spark = counts.sparkSession
     return spark.createDataFrame(special, "ch string, freq bigint, hash bigint").unionByName(letters)
 

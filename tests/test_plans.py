@@ -1,5 +1,8 @@
 """The plans on small tables."""
 
+import pytest
+
+from lexloom.operators import alphabet as A
 from lexloom.plans import queries as Q
 
 
@@ -10,3 +13,11 @@ def test_chain_clean_keeps_ties(spark, tmp_path):
     spark.createDataFrame(rows, "ch string, freq bigint, hash bigint").write.parquet(f"{tmp_path}/alphabet.parquet")
     # of equal frequencies the smaller value: m before n
     assert {(r.variant, r["head"]) for r in Q.chain_clean(spark, str(tmp_path)).collect()} >= {("boomstan", "boomstam"), ("fietspat", "fietspad")}
+
+
+def test_alphabet_is_whole(spark, monkeypatch):
+    counts = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "ch string, freq bigint")
+    monkeypatch.setattr(A, "MOST_SYMBOLS", 2)
+    assert A.alphabet_build(counts, clip=2).count() == 4
+    with pytest.raises(ValueError):
+        A.alphabet_build(counts, clip=1)
