@@ -35,7 +35,7 @@ def _query_vectors(vectors: DataFrame, queries: DataFrame, signs: list[int] | No
         factor = F.element_at(F.array(*[F.lit(float(s)) for s in signs]), F.col("pos") + 1)
         rows = rows.withColumn("vec", F.transform("vec", lambda x: x * factor))
     g = rows.groupBy("qid", "words").agg(n.alias("n"), F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("vs")).where(F.col("n") == F.size("words"))
-    total = F.aggregate(F.slice("vs", 2, 1000), F.col("vs")[0]["vec"], lambda acc, x: V.plus(acc, x["vec"]))
+    total = F.aggregate(F.slice("vs", F.lit(2), F.size("vs")), F.col("vs")[0]["vec"], lambda acc, x: V.plus(acc, x["vec"]))
     return g.select("qid", "words", V.unit(total).alias("q"))
 
 

@@ -3,6 +3,7 @@
 import pytest
 
 from lexloom.operators import alphabet as A
+from lexloom.operators import vectors as V
 from lexloom.plans import queries as Q
 
 
@@ -21,3 +22,9 @@ def test_alphabet_is_whole(spark, monkeypatch):
     assert A.alphabet_build(counts, clip=2).count() == 4
     with pytest.raises(ValueError):
         A.alphabet_build(counts, clip=1)
+
+
+def test_all_words_of_a_query_count(spark):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "word bigint, vec array<double>")
+    asked = spark.createDataFrame([(1, [0] * 1001 + [1] * 3000)], "qid bigint, words array<bigint>")
+    assert [r.word for r in V.nearest(v, asked, 1).collect()] == [2]
