@@ -1,10 +1,11 @@
-"""From a vocabulary to ranked, chained and cleaned corrections, as one plan."""
+"""From texts or a vocabulary to ranked, chained and cleaned corrections, as one plan."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import alphabet as A
@@ -20,7 +21,7 @@ from ..session import Scratch
 @dataclass
 class Pipeline:
     """Settings of a run; `modes` are the letters of the steps wanted, each with those it needs: a counts, b classifies,
-    c anagrams, d index, e pairs, f ranks."""
+    c anagrams, d index, e pairs, f ranks, chains and cleans."""
 
     spark: SparkSession
     distance: int = 2
@@ -63,5 +64,7 @@ class Pipeline:
         out["pairs"], out["short"], out["ambiguous"] = scratch.save(found.records), found.short, found.ambiguous
         if "f" in modes:
             out["ranked"] = scratch.save(R.rank_pairs(out["pairs"], confusions=confusions, alphabet=values, clip=self.clip, skip=self.skip))
-            out["chained"] = H.chain(out["ranked"], values)
+            chained = scratch.save(H.chain(out["ranked"], values).withColumn("pos", F.monotonically_increasing_id()))
+            out["chained"] = chained.drop("pos")
+            out["cleaned"] = H.clean_chains(chained, words, artifrq=self.artifrq, low_length=self.low_length)
         return out

@@ -546,3 +546,25 @@ def pipeline_ranked(spark: SparkSession, d: str) -> DataFrame:
 def pipeline_chained(spark: SparkSession, d: str) -> DataFrame:
     run = Pipeline(spark, distance=1, artifrq=T.ARTIFRQ, clip=1)
     return run.run(lexicon=T.vocabulary(spark, d), alphabet=table(spark, d, "alphabet"), classify=False)["chained"]
+
+
+def _from_documents(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """All steps at their defaults: words counted from the texts, classified beside the lexical words, an alphabet of their
+    own, distance 2."""
+    back = T.vocabulary(spark, d).where(F.col("freq") >= T.ARTIFRQ)
+    return Pipeline(spark, artifrq=T.ARTIFRQ).run(texts=table(spark, d, "documents"), background=back)
+
+
+@query
+def pipeline_documents_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return _from_documents(spark, d)["ranked"].withColumn("score", F.round("score", 9))
+
+
+@query
+def pipeline_documents_chained(spark: SparkSession, d: str) -> DataFrame:
+    return _from_documents(spark, d)["chained"]
+
+
+@query
+def pipeline_documents_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return _from_documents(spark, d)["cleaned"].select("variant", "head", "deleted")

@@ -5,6 +5,7 @@ import pytest
 from lexloom.operators import alphabet as A
 from lexloom.operators import vectors as V
 from lexloom.plans import queries as Q
+from lexloom.plans.pipeline import Pipeline
 
 
 def test_chain_clean_keeps_ties(spark, tmp_path):
@@ -16,6 +17,16 @@ def test_chain_clean_keeps_ties(spark, tmp_path):
     assert {(r.variant, r["head"]) for r in Q.chain_clean(spark, str(tmp_path)).collect()} >= {("boomstan", "boomstam"), ("fietspat", "fietspad")}
 
 
+def test_pipeline_from_texts(spark):
+    texts = spark.createDataFrame([("huisdeur huisdeur huisdeurs huisduer fietsen fietsen\\nfietsen fitsn fietzen",)], "text string")
+    back = spark.createDataFrame([("huisdeur", 1000), ("fietsen", 1000)], "word string, freq bigint")
+    got = Pipeline(spark, artifrq=1000).run(texts=texts, background=back)
+    # one letter, two letters and a transposition
+    want = {("huisduer", "huisdeur"), ("huisdeurs", "huisdeur"), ("fietzen", "fietsen"), ("fitsn", "fietsen")}
+    assert {(r.variant, r.candidate) for r in got["ranked"].collect()} == want
+    assert {(r.variant, r["head"], r.deleted) for r in got["cleaned"].collect()} == {(*w, False) for w in want}
+
+
 def test_alphabet_is_whole(spark, monkeypatch):
     counts = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "ch string, freq bigint")
     monkeypatch.setattr(A, "MOST_SYMBOLS", 2)
