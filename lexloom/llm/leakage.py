@@ -9,8 +9,8 @@
    passes over them: random projection, and one power iteration, each adding up the tasks' partial products.
 4. Corpus passages are projected into the latent space and compared with the items' passages; those of a cosine of
    `least_cosine` or more are candidates.
-5. Candidates are checked: a shared run of words for a leak as it stands, the longest common subsequence and the answer
-   for a paraphrase.
+5. Candidates are checked: a shared run of words for a leak as it stands, the longest common subsequence for a
+   paraphrase. Answers aren't checked.
 """
 
 from __future__ import annotations
