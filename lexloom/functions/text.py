@@ -90,18 +90,24 @@ def has_edges(c: Column | str) -> Column:
     return col(c).rlike(rf"^(?:{EDGE}|-[^{LETTER}])") | F.reverse(col(c)).rlike(rf"^(?:{EDGE}|-[^{LETTER}])")
 
 
+# The patterns of Roman numerals, dotted acronyms, and acronyms behind a Dutch article.
+ROMAN = r"^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
+DOTTED = r"^(\p{Lu}{1,2}\.{1,2}(\p{Lu}{1,2}\.{1,2})*)(\p{Lu}{0,2})$"
+ARTICLE = r"^(?:de|het|een)_(\p{Lu}+)-?\p{L}*$"
+
+
 def is_roman(c: Column | str) -> Column:
-    return col(c).rlike(r"^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$")
+    return col(c).rlike(ROMAN)
 
 
 def is_dotted_acronym(c: Column | str) -> Column:
-    return col(c).rlike(r"^(\p{Lu}{1,2}\.{1,2}(\p{Lu}{1,2}\.{1,2})*)(\p{Lu}{0,2})$")
+    return col(c).rlike(DOTTED)
 
 
 def article_acronyms(parts: Column) -> Column:
     """The capital words behind a Dutch article in neighbouring parts, sorted and without repeats."""
     pairs = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: F.concat(F.get(parts, i), F.lit(SEPARATOR), F.get(parts, i + 1)))
-    found = F.transform(pairs, lambda p: F.regexp_extract(p, r"^(?:de|het|een)_(\p{Lu}+)-?\p{L}*$", 1))
+    found = F.transform(pairs, lambda p: F.regexp_extract(p, ARTICLE, 1))
     return F.when(F.size(parts) < 2, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.filter(found, lambda x: x != ""))))
 
 
@@ -177,9 +183,5 @@ def tokens(c: Column | str) -> Column:
     return F.filter(F.split(col(c), rf"[{SPACE}]+"), lambda x: x != "")
 
 
-def token_ratio(types: Column, total: Column) -> Column:
-    return types / total
-
-
 def ratio_angle(ratio: Column) -> Column:
     return F.degrees(F.atan(ratio))

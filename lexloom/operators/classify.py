@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import Scratch
+from .lookup import lookup
 
 CLEAN, UNK, PUNCT, IGNORE = "CLEAN", "UNK", "PUNCT", "IGNORE"
 
@@ -92,7 +93,8 @@ def _classified_parts(words: DataFrame, letters: str, background: DataFrame | No
         own = F.col("k1") == 1
         parts = parts.select("part", F.when(own, CLEAN).otherwise(F.col("cls")).alias("cls"), F.when(own, "").otherwise(F.col("form")).alias("form"), F.coalesce("k1", "k2", F.lit(0)).alias("known"))
     first = [c for c in words.columns if c != "orig"]
-    return rows.join(parts, "part").groupBy("orig").agg(*[F.first(c).alias(c) for c in first], F.array_sort(F.collect_list(F.struct("pos", "part", "cls", "form", "known"))).alias("ps"))
+    rows = lookup(rows, "part", parts.withColumnRenamed("part", "_part"), "_part", how="inner")
+    return rows.groupBy("orig").agg(*[F.first(c).alias(c) for c in first], F.array_sort(F.collect_list(F.struct("pos", "part", "cls", "form", "known"))).alias("ps"))
 
 
 def _route(words: DataFrame, acronyms: bool) -> DataFrame:

@@ -17,6 +17,8 @@ from ..session import Scratch
 
 #: Pairs of words that two values may bring before they are made by segments.
 DENSE = 400
+#: N-gram pairs that one row lists.
+LISTED = 100_000
 
 COLUMNS = ["variant", "variant_freq", "low_variant_freq", "candidate", "candidate_freq", "low_candidate_freq", "kwc", "ld", "cls", "canon", "fl", "ll", "khc", "ngram_points"]
 
@@ -93,12 +95,21 @@ def _segment(length: Column, i: Column, distance: int) -> tuple[Column, Column]:
     return (i * short + F.greatest(F.lit(0), i - first_long) + 1).cast("int"), (short + F.when(i >= first_long, 1).otherwise(0)).cast("int")
 
 
-def _joined(index: DataFrame, first: DataFrame, second: DataFrame, distance: int, excused: Column) -> DataFrame:
+def _masked(word: Column | str) -> Column:
+    """The lower-cased n-gram with each of its parts left out in turn; none for a single part. N-grams that differ in one
+    part share one of these."""
+    parts = F.transform(X.plain_parts(word), lambda x: F.lower(x))
+    without = lambda i: F.array_join(F.transform(parts, lambda x, j: F.when(j == i, F.lit("\n")).otherwise(x)), "\n\n")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(0), F.size(parts) - 1), without)).otherwise(F.array().cast("array<string>"))
+
+
+def _joined(index: DataFrame, first: DataFrame, second: DataFrame, distance: int, excused: Column, parts: bool = False) -> DataFrame:
     """The index rows (kwc, hash, khc, diac, h2) with the words w1 of `hash` and w2 of `h2`, as h1, h2, kwc, khc, diac, w1, w2.
 
     Words of foreign letters fall into few values, so two values may bring millions of pairs. Where they bring more than
     DENSE, only pairs that agree in one of distance + 1 segments are made: all pairs within the distance do, the segment
-    shifted by at most the distance. Pairs excused from the distance are all made."""
+    shifted by at most the distance. Pairs excused from the distance are all made. `parts`: n-grams that differ in one part
+    are wanted at any distance, so those that agree in all parts but one are made, too."""
     sizes = first.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
     many = index.join(sizes.withColumnRenamed("n", "n1"), "hash").join(sizes.select(F.col("hash").alias("h2"), F.col("n").alias("n2")), "h2")
     many = Scratch(index.sparkSession, "dense").save(many.withColumn("dense", (F.col("n1") * F.col("n2") > DENSE) & ~excused))
@@ -122,10 +133,22 @@ def _joined(index: DataFrame, first: DataFrame, second: DataFrame, distance: int
     cuts = F.flatten(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(distance)), lambda i: F.transform(around, lambda by: F.transform(around, lambda shift: cut(i, by, shift))))))
     wanted = second.join(dense.select("h2").distinct(), "h2").withColumn("w2low", F.lower("w2"))
     right = wanted.select("h2", "w2", F.inline(F.array_distinct(F.filter(cuts, lambda x: x.isNotNull()))))
-    hot = left.join(right, ["h2", "i", "len", "piece"]).select(*keep, "w1", "w2").distinct()
+    hot = left.join(right, ["h2", "i", "len", "piece"]).select(*keep, "w1", "w2")
+    if parts:
+        masked = dense.join(first, "hash").select("*", F.explode(_masked("w1")).alias("rest"))
+        other = wanted.select("h2", "w2", F.explode(_masked("w2")).alias("rest"))
+        hot = hot.unionByName(masked.join(other, ["h2", "rest"]).select(*keep, "w1", "w2"))
+    hot = hot.distinct()
     return cold.unionByName(hot.withColumnRenamed("hash", "h1"))
 
 
+def _listed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(pair, ngram_pairs): the n-gram pairs of each pair of short parts, sorted; a pair of more than LISTED goes on over
+    several rows."""
+    cut = rows.join(sizes, "pair").withColumn("_s", F.pmod(F.xxhash64("n"), F.ceil(F.col("points") / LISTED)))
+    return cut.groupBy("pair", "_s").agg(F.array_sort(F.collect_set("n")).alias("ngram_pairs")).drop("_s")
+
+
 def find_pairs(index: DataFrame, anagrams: DataFrame, clean: DataFrame, *, artifrq: int, distance: int = 2, low_length: int = 5, high_length: int = 35,
                letters: str = "", historical: DataFrame | None = None, diacritic: DataFrame | None = None, no_hld: bool = False) -> Pairs:
     """The pairs of an index (kwc, hash) over an anagram table (hash, word) and a vocabulary (word, freq).
@@ -158,7 +181,7 @@ def find_pairs(index: DataFrame, anagrams: DataFrame, clean: DataFrame, *, artif
     kept, parts = _split(near, artifrq, low)
     if distance >= 2:
         keys = flags.groupBy("hash").agg(F.min_by(F.struct("khc", "diac"), "kwc").alias("s")).select("hash", "s.khc", "s.diac")
-        same = _joined(keys.select(F.lit(0).cast("bigint").alias("kwc"), "hash", "khc", "diac", F.col("hash").alias("h2")), first, second, 2, excused).where("w1 < w2")
+        same = _joined(keys.select(F.lit(0).cast("bigint").alias("kwc"), "hash", "khc", "diac", F.col("hash").alias("h2")), first, second, 2, excused, parts=True).where("w1 < w2")
         same = _oriented(_with_freqs(same, clean, low)).where(_acceptable(artifrq, letters) & (F.col("l2") >= artifrq))
         mirrored, more = _split(same, artifrq, low)
         mirrored = mirrored.withColumn("ld", F.levenshtein(F.lower("w1"), F.lower("w2"))).where((F.col("ld") == 2) | (F.col("khc") & F.lit(no_hld)))
@@ -171,8 +194,8 @@ def find_pairs(index: DataFrame, anagrams: DataFrame, clean: DataFrame, *, artif
     records = kept.select(*_features(artifrq)).join(evidence, (F.col("variant") == F.col("part1")) & (F.col("candidate") == F.col("part2")), "left")
     records = records.withColumn("ngram_points", F.coalesce("points", F.lit(0))).select(*COLUMNS)
 
-    few = parts.where(short).groupBy("part1", "part2").agg(F.count(F.lit(1)).alias("points"), F.array_sort(F.collect_set(F.concat("w1", F.lit("~"), "w2"))).alias("ngram_pairs"))
-    ambiguous = few.select(F.concat("part1", F.lit("~"), "part2").alias("pair"), "ngram_pairs")
+    few = parts.where(short).groupBy("part1", "part2").agg(F.count(F.lit(1)).alias("points"))
+    ambiguous = _listed(parts.where(short).select(F.concat("part1", F.lit("~"), "part2").alias("pair"), F.concat("w1", F.lit("~"), "w2").alias("n")), few.select(F.concat("part1", F.lit("~"), "part2").alias("pair"), "points"))
     few = few.select(F.col("part1").alias("w1"), F.col("part2").alias("w2"), "points").withColumn("ld", F.levenshtein(F.lower("w1"), F.lower("w2"))).where(F.col("ld") <= distance)
     few = _with_freqs(few, clean, low).withColumn("kwc", F.lit(0).cast("bigint")).withColumn("khc", F.lit(False))
     return Pairs(records, few.select(*_features(artifrq), F.col("points").alias("ngram_points")), ambiguous, longer)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import Scratch
+from .lookup import lookup
+from .vectors import nearest
 
 FEATURES = ("freq_digits", "freq", "ld", "cls", "canon", "fl", "ll", "khc", "pairs1", "pairs2", "median", "lower_count", "cosine", "ngram_points")
 #: Features ranked densely, descending but for the distance; the others have fixed ranks.
@@ -84,11 +86,19 @@ def _fixed(name: str) -> Column:
     return F.when(F.col(name) == 0, 10 if name == "canon" else 2).otherwise(1)
 
 
-def feature_ranks(rows: DataFrame) -> DataFrame:
+def group_sizes(rows: DataFrame) -> tuple[list, int]:
+    """The hot variants (fewer than HOT_SHARE), and the largest number of records of a variant."""
+    sizes = rows.groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    if total.most <= HOT_ROWS:
+        return [], total.most
+    return [x.variant for x in sizes.where(F.col("n") > max(HOT_ROWS, total.n // HOT_SHARE)).collect()], total.most
+
+
+def feature_ranks(rows: DataFrame, hot: list | None = None) -> DataFrame:
     """`rows` with `lower_count` and the rank of every feature as `<feature>_rank`."""
+    hot = group_sizes(rows)[0] if hot is None else hot
     rows = rows.withColumn("_low", F.lower("candidate"))
-    n = rows.count()
-    hot = [x.variant for x in rows.groupBy("variant").count().where(F.col("count") > max(HOT_ROWS, n // HOT_SHARE)).collect()]
     w = Window.partitionBy("variant")
     cold = rows.where(~F.col("variant").isin(hot)) if hot else rows
     cold = cold.withColumn("lower_count", F.count(F.lit(1)).over(Window.partitionBy("variant", "_low")))
@@ -113,6 +123,8 @@ def rank_pairs(records: DataFrame, *, confusions: DataFrame | None = None, alpha
     0 means 1. `skip` names features to leave out by number, 1 to 14. The score is 1 less the record's share of the
     variant's ranks, and 1 for a variant's only record; at a tie of 9 decimals the smaller candidate goes first.
 
+    A clip is cut to in parts before the records of a variant meet, up to the planner's limit for that.
+
     Counts and medians are over all records, the ranks over those left by `drop_weak_ngrams`. `debug` keeps all feature
     and rank columns. Records must have a variant and a candidate; a pair is there once. Without records no rows."""
     if set(skip) >= set(range(1, 15)):
@@ -121,16 +133,28 @@ def rank_pairs(records: DataFrame, *, confusions: DataFrame | None = None, alpha
     kept = drop_weak_ngrams(records)
     medians = integer_median(kept, ["variant", "kwc"], "candidate_freq") if local_medians else integer_median(records, ["kwc"], "candidate_freq")
     two = complement_counts(counts, confusions, alphabet) if confusions is not None and alphabet else None
-    ranked = feature_ranks(add_features(kept, counts=counts, medians=medians, complements=two, cosines=cosines, artifrq1=artifrq1, artifrq2=artifrq2))
+    hot, most = group_sizes(kept)
+    ranked = feature_ranks(add_features(kept, counts=counts, medians=medians, complements=two, cosines=cosines, artifrq1=artifrq1, artifrq2=artifrq2), hot)
     used = [F.col(f"{c}_rank") for i, c in enumerate(FEATURES, 1) if i not in skip]
     ranked = ranked.withColumn("rank_sum", sum(used[1:], used[0]))
-    totals = ranked.groupBy("variant").agg(F.sum("rank_sum").alias("_t"), F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.join(totals, "variant").withColumn("score", F.when(F.col("_n") == 1, 1.0).otherwise(1 - F.col("rank_sum") / F.col("_t"))).drop("_t", "_n")
-    w = Window.partitionBy("variant").orderBy(F.desc(F.round("score", 9)), "candidate")
-    best = ranked.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max(clip, 1)).drop("_k")
+    totals = ranked.groupBy(F.col("variant").alias("_g")).agg(F.sum("rank_sum").alias("_t"), F.count(F.lit(1)).alias("_n"))
+    ranked = lookup(ranked, "variant", totals, "_g", how="inner", hot=hot).drop("_g").withColumn("score", F.when(F.col("_n") == 1, 1.0).otherwise(1 - F.col("rank_sum") / F.col("_t"))).drop("_t", "_n")
+    best = ranked
+    if max(clip, 1) < most:  # else all records stay, and no variant has to be sorted
+        w = Window.partitionBy("variant").orderBy(F.desc(F.round("score", 9)), "candidate")
+        best = ranked.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max(clip, 1)).drop("_k")
     return best if debug else best.select("variant", "variant_freq", "candidate", "candidate_freq", "kwc", "ld", "score")
 
 
+def neighbour_cosines(vectors: DataFrame, records: DataFrame, k: int = 20) -> DataFrame:
+    """(variant, candidate, cosine): for every pair whose candidate is among the `k` words nearest to the variant, the
+    similarity of the two; as `cosines` of `rank_pairs`, where any other pair has 0. `vectors` is (word, vec)."""
+    asked = records.select("variant").where("variant is not null").distinct()
+    asked = asked.select(F.col("variant").alias("qid"), F.array("variant").alias("words"))
+    near = nearest(vectors, asked, k).select(F.col("qid").alias("variant"), F.col("word").alias("candidate"), F.col("similarity").alias("cosine"))
+    return near.join(records.select("variant", "candidate").distinct(), ["variant", "candidate"], "left_semi")
+
+
 def confusion_frequencies(records: DataFrame, confusions: DataFrame) -> DataFrame:
     """(kwc, example, n): how often each confusion occurs in the records, with its example, `transposition` for 0, or
     `missing`."""

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import Scratch
+from .lookup import lookup
 
-#: Query vectors compared with the vocabulary in one pass, and words of a vocabulary batch.
+#: Query vectors and words of a block.
 BLOCK, BATCH = 1024, 4096
+#: Query vectors of up to so many bytes in all are sent to every task.
+BROADCAST_BYTES = 32 << 20
 
 
 def normalised(vectors: DataFrame, word: str = "word", vec: str = "vec") -> DataFrame:
@@ -26,6 +32,16 @@ def cosine_pairs(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("a", "b", V.dot(F.col("va"), F.col("vb")).alias("cosine"))
 
 
+def pair_frequencies(pairs: DataFrame, freqs: DataFrame) -> DataFrame:
+    """`pairs` (a, b, ...) with `freq_a` and `freq_b` from (word, freq[, pos]); 0 for a word that is not in the list. Of a
+    repeated word the row of the largest `pos` counts, without `pos` the largest frequency."""
+    last = F.max_by("freq", "pos") if "pos" in freqs.columns else F.max("freq")
+    f = freqs.where("word is not null").groupBy("word").agg(last.alias("freq"))
+    for c in ("a", "b"):
+        pairs = lookup(pairs, c, f.select(F.col("word").alias("_w"), F.col("freq").alias(f"freq_{c}")), "_w").drop("_w")
+    return pairs.na.fill(0, ["freq_a", "freq_b"])
+
+
 def _query_vectors(vectors: DataFrame, queries: DataFrame, signs: list[int] | None) -> DataFrame:
     """(qid, words, q): the normalised signed sum of the words' vectors; queries with an unknown word are left out."""
     v = normalised(vectors)
@@ -39,37 +55,51 @@ def _query_vectors(vectors: DataFrame, queries: DataFrame, signs: list[int] | No
     return g.select("qid", "words", V.unit(total).alias("q"))
 
 
+def _packed(rows: DataFrame, id_: str, vec: str, size: int, extra: list[str]) -> DataFrame:
+    """Blocks of up to `size` rows: (block, ids, extra..., m), m being the vectors as the bytes of a matrix."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in [id_, *extra]}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), size):
+                part = b.iloc[lo : lo + size]
+                yield pd.DataFrame({**{c: [part[c].tolist()] for c in kinds}, "m": [np.vstack(part[vec].to_list()).tobytes()]})
+
+    return rows.select(id_, *extra, vec).mapInPandas(run, ", ".join([*(f"{c} array<{k}>" for c, k in kinds.items()), "m binary"]))
+
+
 def _top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, word, similarity, position) of the k most similar words above 0, the query's words excluded; at a tie of 9
-    decimals the smaller word. Queries are taken in blocks, each compared with the whole vocabulary in batches of matrix
-    products that send on k words a query; those are few enough to sort by query."""
-    v = normalised(vectors)
-    kind = v.schema["word"].dataType.simpleString()
-    out, last = None, None
-    while True:
-        block = (queries if last is None else queries.where(F.col("qid") > last)).orderBy("qid").limit(BLOCK).collect()
-        if not block:
-            break
-        last = block[-1].qid
-        ids, words = [r.qid for r in block], [set(r.words) for r in block]
-        shared = v.sparkSession.sparkContext.broadcast((ids, words, np.array([r.q for r in block])))
-
-        def near(batches, shared=shared):
-            ids, words, q = shared.value
-            for b in batches:
-                names = b["word"].tolist()
-                sims = np.round(np.vstack(b["vec"].to_list()) @ q.T, 12)
+    decimals the smaller word. Blocks of queries meet blocks of words by a join on the number of the query block (queries
+    of up to BROADCAST_BYTES in all are sent to every task instead), and a matrix product sends on k words a query, which
+    are few enough to sort by query. The plan is the same for any number of queries."""
+    scratch = Scratch(vectors.sparkSession, "vectors")
+    v = scratch.save(normalised(vectors))
+    asked = scratch.save(queries)
+    kind, qkind = v.schema["word"].dataType.simpleString(), asked.schema["qid"].dataType.simpleString()
+    stats = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("q")), F.lit(0)).alias("cells")).first()
+    blocks = -(-stats.n // BLOCK)
+    if not blocks:
+        return v.sparkSession.createDataFrame([], f"qid {qkind}, word {kind}, similarity double, position int")
+    # As many partitions as blocks, so that few blocks are cut short.
+    qs = scratch.save(_packed(asked.repartition(blocks), "qid", "q", BLOCK, ["words"]).withColumn("block", F.spark_partition_id()))
+    words = _packed(v, "word", "vec", BATCH, []).select("word", F.col("m").alias("wm"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    qs = F.broadcast(qs) if 8 * stats.cells <= BROADCAST_BYTES else qs
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for names, wm, ids, own, m in zip(b["word"], b["wm"], b["qid"], b["words"], b["m"], strict=True):
+                mine = np.frombuffer(wm).reshape(len(names), -1)
+                sims = np.round(mine @ np.frombuffer(m).reshape(len(ids), -1).T, 12)
                 out = []
                 for j, qid in enumerate(ids):
-                    s = sims[:, j]
-                    top = np.flatnonzero(s >= np.partition(s, -min(len(s), k + len(words[j])))[-min(len(s), k + len(words[j]))])
-                    out += [(qid, names[i], float(s[i])) for i in top.tolist() if s[i] > 0 and names[i] not in words[j]]
+                    s, apart = sims[:, j], set(own[j])
+                    most = min(len(s), k + len(apart))
+                    top = np.flatnonzero(s >= np.partition(s, -most)[-most])
+                    out += [(qid, names[i], float(s[i])) for i in top.tolist() if s[i] > 0 and names[i] not in apart]
                 yield pd.DataFrame(out, columns=["qid", "word", "similarity"])
 
-        got = v.mapInPandas(near, f"qid bigint, word {kind}, similarity double")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        out = v.sparkSession.createDataFrame([], f"qid bigint, word {kind}, similarity double")
+    out = words.join(qs, "block").select("word", "wm", "qid", "words", "m").mapInPandas(near, f"qid {qkind}, word {kind}, similarity double")
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("similarity", 9)), "word")
     return out.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 

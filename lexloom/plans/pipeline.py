@@ -1,4 +1,4 @@
-"""From texts or a vocabulary to ranked, chained and cleaned corrections, as one plan."""
+"""From texts or a vocabulary to ranked, chained and cleaned corrections. Each step writes the tables that later steps read."""
 
 from __future__ import annotations
 
@@ -33,9 +33,12 @@ class Pipeline:
     acronyms: bool = False
     steps: dict[str, DataFrame] = field(default_factory=dict)
 
-    def run(self, *, texts: DataFrame | None = None, text: str = "text", lexicon: DataFrame | None = None, background: DataFrame | None = None, alphabet: DataFrame | None = None, ngram: int = 1, classify: bool = True, modes: str = "abcdef") -> dict[str, DataFrame]:
+    def run(self, *, texts: DataFrame | None = None, text: str = "text", lexicon: DataFrame | None = None, background: DataFrame | None = None, alphabet: DataFrame | None = None, ngram: int = 1, classify: bool = True, modes: str = "abcdef",
+            historical: DataFrame | None = None, diacritic: DataFrame | None = None, no_hld: bool = False, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
         """The tables of all steps by name. Words come from `texts` or from `lexicon` (word, freq); the alphabet (ch,
-        freq, hash) is built from the words if it isn't given. Tables that several steps read are written once."""
+        freq, hash) is built from the words if it isn't given. Tables that several steps read are written once.
+        `historical` and `diacritic` are confusions (kwc) that pairs are marked by, `no_hld` excuses historical pairs from the
+        distance; `vectors` (word, vec) give the cosines for ranking."""
         scratch, out = Scratch(self.spark, "pipeline"), self.steps
         words = lexicon if lexicon is not None else L.word_count(texts, text, ngram)
         out["words"] = words = scratch.save(words.select("word", "freq"))
@@ -60,10 +63,12 @@ class Pipeline:
         out["index"] = index = scratch.save(G.build_index(keys, table, self.distance, confusions, foci.select("hash")))
         if not set("ef") & set(modes):
             return out
-        found = P.find_pairs(index, anagrams, clean, artifrq=self.artifrq, distance=self.distance, low_length=self.low_length, high_length=self.high_length, letters=letters)
+        found = P.find_pairs(index, anagrams, clean, artifrq=self.artifrq, distance=self.distance, low_length=self.low_length, high_length=self.high_length, letters=letters,
+                             historical=historical, diacritic=diacritic, no_hld=no_hld)
         out["pairs"], out["short"], out["ambiguous"] = scratch.save(found.records), found.short, found.ambiguous
         if "f" in modes:
-            out["ranked"] = scratch.save(R.rank_pairs(out["pairs"], confusions=confusions, alphabet=values, clip=self.clip, skip=self.skip))
+            cosines = R.neighbour_cosines(vectors, out["pairs"]) if vectors is not None else None
+            out["ranked"] = scratch.save(R.rank_pairs(out["pairs"], confusions=confusions, cosines=cosines, alphabet=values, clip=self.clip, skip=self.skip))
             chained = scratch.save(H.chain(out["ranked"], values).withColumn("pos", F.monotonically_increasing_id()))
             out["chained"] = chained.drop("pos")
             out["cleaned"] = H.clean_chains(chained, words, artifrq=self.artifrq, low_length=self.low_length)

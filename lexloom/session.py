@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 100_000
 
 _own: dict[str, str] = {}
+#: Folders of intermediate tables that are still there: path -> what deletes it.
+_tables: dict[str, Callable[[], object]] = {}
 
 
 def build_session(app: str = "lexloom", cores: int | None = None, memory: str = "8g") -> SparkSession:
@@ -45,15 +49,39 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
+def release(only: set[str] | None = None) -> None:
+    """Delete the intermediate tables (those of the given folders, or all of this process). Results that are still to be
+    computed from them can't be any more, so write those first. Runs by itself when the process ends."""
+    for path in list(_tables) if only is None else [p for p in _tables if p in only]:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            _tables.pop(path)()
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Deletes, at its end, the intermediate tables made inside: for a query whose result is written inside."""
+    before = set(_tables)
+    try:
+        yield
+    finally:
+        release(set(_tables) - before)
+
+
+atexit.register(release)
+
+
 class Scratch:
     """Intermediate tables written as Parquet in the shared folder: they cut lineage, survive the loss of
-    executors, and give the next plan exact sizes."""
+    executors, and give the next plan exact sizes. `release` or `scratch_scope` deletes them."""
 
     def __init__(self, spark: SparkSession, name: str = "step"):
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, str] = {}
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        _tables[self.root] = lambda: files.delete(root, True)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"

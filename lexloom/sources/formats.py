@@ -41,9 +41,9 @@ def documents(spark: SparkSession, path: str | list[str], *, recursive: bool = F
     return rows.withColumn("text", composed("text"))
 
 
-def xml_texts(docs: DataFrame, doc_id: str, xml: str) -> DataFrame:
-    """(doc_id, node, text): the text of every text node of each XML document, numbered in document order; n-grams of a
-    node stay in it. Documents that aren't well formed, nulls and blank nodes give no rows. No external entities."""
+def xml_nodes(docs: DataFrame, doc_id: str, xml: str) -> DataFrame:
+    """(doc_id, node, text, fault): as `xml_texts`, and a row with the reason as `fault`, and null node and text, for every
+    document that isn't well formed."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,14 +53,22 @@ def xml_texts(docs: DataFrame, doc_id: str, xml: str) -> DataFrame:
             out = []
             for i, x in zip(b["i"], b["x"], strict=True):
                 try:
-                    root = ElementTree.fromstring(x) if x else None
-                except (ElementTree.ParseError, ValueError):
+                    root = ElementTree.fromstring(x)
+                except (ElementTree.ParseError, ValueError) as e:
+                    out.append((i, None, None, str(e)))
                     continue
-                if root is not None:
-                    out += [(i, n, t) for n, t in enumerate(s for s in root.itertext() if s.strip())]
-            yield pd.DataFrame(out, columns=[doc_id, "node", "text"])
+                out += [(i, n, t, None) for n, t in enumerate(s for s in root.itertext() if s.strip())]
+            yield pd.DataFrame(out, columns=[doc_id, "node", "text", "fault"]).astype({"node": "Int32"})
 
-    return docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{xml}`").alias("x")).mapInPandas(run, f"`{doc_id}` {kind}, node int, text string")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{xml}`").alias("x")).where("x <> ''")
+    return rows.mapInPandas(run, f"`{doc_id}` {kind}, node int, text string, fault string")
+
+
+def xml_texts(docs: DataFrame, doc_id: str, xml: str) -> DataFrame:
+    """(doc_id, node, text): the text of every text node of each XML document, numbered in document order; n-grams of a
+    node stay in it. Nulls and blank nodes give no rows, documents that aren't well formed are left to `xml_nodes`. No
+    external entities."""
+    return xml_nodes(docs, doc_id, xml).where("fault is null").drop("fault")
 
 
 def too_many(rows: DataFrame, good: Column, limit: int) -> bool:
@@ -173,32 +181,62 @@ def chained(rows: DataFrame) -> DataFrame:
     return seven.unionByName(six, allowMissingColumns=True)
 
 
+#: Bytes read from a vector file at a time.
+READ_BYTES = 8 << 20
+
+
+def _stored_vectors(path: str) -> Iterator[tuple[str, list[float]]]:
+    """The words and vectors of a binary file, read in pieces, so that its size doesn't matter."""
+    import numpy as np
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(at) as f:
+        held = b""
+
+        def more() -> bytes:
+            got = f.read(READ_BYTES)
+            if not got:
+                raise ValueError(f"vector file ends too early: {path}")
+            return bytes(got)
+
+        while b"\n" not in held:
+            held += more()
+        head, _, held = held.partition(b"\n")
+        n, dim = map(int, head.split())
+        pos = 0
+        for _ in range(n):
+            while (cut := held.find(b" ", pos)) < 0 or cut + 1 + 4 * dim > len(held):
+                held, pos = held[pos:] + more(), 0
+            end = cut + 1 + 4 * dim
+            yield held[pos:cut].decode("utf-8", "replace").lstrip("\n"), np.frombuffer(held[cut + 1 : end], dtype="<f4").tolist()
+            pos = end
+
+
 def word_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(word, vec) of binary vector files: a header line `words dimension`, then each word, a space and its floats. Of a
-    repeated word the first counts; vectors are as stored."""
-    import numpy as np
+    repeated word the first counts; vectors are as stored. Each file is streamed by one task, whatever its size; a file
+    that is cut off is an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for data in b["content"]:
-                head, _, body = bytes(data).partition(b"\n")
-                n, dim = map(int, head.split())
-                words, vecs, at = [], [], 0
-                for _ in range(n):
-                    cut = body.index(b" ", at)
-                    words.append(body[at:cut].decode("utf-8", "replace").lstrip("\n"))
-                    at = cut + 1 + 4 * dim
-                    vecs.append(np.frombuffer(body[cut + 1 : at], dtype="<f4").tolist())
+            for at in b["path"]:
+                words, vecs = [], []
+                for word, vec in _stored_vectors(at):
+                    words.append(word)
+                    vecs.append(vec)
                     if len(words) == 4096:
                         yield pd.DataFrame({"word": words, "vec": vecs})
                         words, vecs = [], []
                 yield pd.DataFrame({"word": words, "vec": vecs})
 
-    got = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "word string, vec array<float>").withColumn("_p", F.monotonically_increasing_id())
+    # Only the names of the files are read by Spark.
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path")).orderBy("path")
+    got = files.mapInPandas(run, "word string, vec array<float>").withColumn("_p", F.monotonically_increasing_id())
     return got.groupBy("word").agg(F.min_by("vec", "_p").alias("vec"))
 
 
 def word_frequencies(rows: DataFrame) -> DataFrame:
-    """(word, freq) of lines of exactly two fields."""
-    f = _fields(rows, r"\s+")
-    return f.where(F.size("f") == 2).select(F.get("f", F.lit(0)).alias("word"), _int(F.get("f", F.lit(1))).alias("freq")).where("freq is not null")
+    """(word, freq, pos) of lines of exactly two fields; `pos` orders repeated words."""
+    f = _fields(rows, r"\s+").withColumn("pos", F.monotonically_increasing_id())
+    return f.where(F.size("f") == 2).select(F.get("f", F.lit(0)).alias("word"), _int(F.get("f", F.lit(1))).alias("freq"), "pos").where("freq is not null")

@@ -52,9 +52,17 @@ def confusions(rows: DataFrame) -> DataFrame:
     return rows.orderBy("kwc").select(_join("#", "kwc", last))
 
 
-def anagrams(rows: DataFrame) -> DataFrame:
-    """hash~word#word by hash, the words sorted. The words of one value are few."""
-    return rows.groupBy("hash").agg(F.array_sort(F.collect_set("word")).alias("w")).orderBy("hash").select(_join("~", "hash", F.array_join("w", "#")))
+def _cut(rows: DataFrame, key: str, value: str, per_line: int) -> DataFrame:
+    """(key, _s, v): the distinct values of each key, sorted, on as many lines as it takes to hold about `per_line` each."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    cut = rows.join(counts, key).withColumn("_s", F.pmod(F.xxhash64(value), F.ceil(F.col("_n") / per_line)))
+    return cut.groupBy(key, "_s").agg(F.array_sort(F.collect_set(value)).alias("v")).orderBy(key, "_s")
+
+
+def anagrams(rows: DataFrame, per_line: int = 100_000) -> DataFrame:
+    """hash~word#word by hash, the words sorted. A value of more than `per_line` words goes on over several lines, which
+    readers take as one."""
+    return _cut(rows, "hash", "word", per_line).select(_join("~", "hash", F.array_join("v", "#")))
 
 
 def hash_list(rows: DataFrame) -> DataFrame:
@@ -64,10 +72,7 @@ def hash_list(rows: DataFrame) -> DataFrame:
 def index(rows: DataFrame, per_line: int = 100_000) -> DataFrame:
     """kwc#hash,hash by kwc. The values of a frequent confusion go on over several lines of `per_line` each, which
     readers take as one."""
-    parts = rows.withColumn("_s", F.pmod(F.xxhash64("hash"), F.lit(1024)))
-    counts = rows.groupBy("kwc").agg(F.count(F.lit(1)).alias("_n"))
-    cut = parts.join(counts, "kwc").withColumn("_s", F.pmod("_s", F.ceil(F.col("_n") / per_line)))
-    return cut.groupBy("kwc", "_s").agg(F.array_sort(F.collect_set("hash")).alias("h")).orderBy("kwc", "_s").select(_join("#", "kwc", F.array_join(F.col("h").cast("array<string>"), ",")))
+    return _cut(rows, "kwc", "hash", per_line).select(_join("#", "kwc", F.array_join(F.col("v").cast("array<string>"), ",")))
 
 
 def confusion_stats(rows: DataFrame) -> DataFrame:
@@ -85,13 +90,16 @@ def ambiguous(rows: DataFrame) -> DataFrame:
 
 
 def score_text(score: Column | str) -> Column:
-    """A number with six significant digits, without trailing zeros. Scores lie between 0 and 1."""
+    """A number with six significant digits, without trailing zeros: plain for exponents from -4 to 5, else with an
+    exponent of two digits at least."""
     s = F.col(score) if isinstance(score, str) else score
-    places = F.when(s == 0, 0).otherwise(F.greatest(F.lit(0), 5 - F.floor(F.log10(F.abs(s))))).cast("int")
-    fixed = F.when(s == 0, F.lit("0")).otherwise(F.expr("null").cast("string"))
-    for p in range(12):
-        fixed = F.coalesce(fixed, F.when(places == p, F.format_string(f"%.{p}f", s)))
-    return F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
+    long = F.format_string("%.5e", s)
+    power = F.regexp_extract(long, r"e([-+]\d+)$", 1).cast("int")
+    fixed = F.lit(None).cast("string")
+    for p in range(10):
+        fixed = F.coalesce(fixed, F.when(5 - power == p, F.format_string(f"%.{p}f", s)))
+    fixed = F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
+    return F.when(s == 0, "0").when(power.between(-4, 5), fixed).otherwise(F.regexp_replace(long, r"\.?0+e", "e"))
 
 
 def ranked(rows: DataFrame, clip: int = 0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,8 +24,15 @@ def windowed_word_count(texts: DataFrame, text: str, time: str, *, window: str =
 
 
 def to_table(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch's changed counters replace their rows in `path/<batch>`, exactly once by the batch number."""
+    """Writes each batch's changed counters to `path/batch=<number>`; a batch that is run again replaces its own folder, so
+    nothing counts twice. `read_table` gives the newest counter of each word."""
     def batch(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return counts.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """(word, freq): the counters that `to_table` wrote, as of the last whole batch."""
+    rows = spark.read.schema("word string, freq bigint, batch bigint").parquet(path)
+    return rows.groupBy("word").agg(F.max_by("freq", "batch").alias("freq"))

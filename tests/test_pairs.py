@@ -231,7 +231,7 @@ def brute_clean(recs, valid, low):
     return [r["gone"] for r in recs]
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(3))
 def test_clean_chains(spark, seed):
     r = random.Random(seed)
     parts, heads = ["ab", "abc", "bad", "Bed", "cab-d", "dea"], ["huis", "boom", "weg-dek", "straat", "kat"]
@@ -240,3 +240,28 @@ def test_clean_chains(spark, seed):
     lexicon = spark.createDataFrame([("abc", 100), ("dea", 5)], "word string, freq bigint")
     got = [x.deleted for x in H.clean_chains(chained, lexicon, artifrq=100, low_length=4).orderBy("pos").collect()]
     assert got == brute_clean(recs, {"abc"}, 4)
+
+
+@pytest.mark.parametrize("dense", [0, 400, 10**9])
+def test_crowded_anagrams_keep_their_part_pairs(spark, dense, monkeypatch):
+    monkeypatch.setattr(P, "DENSE", dense)
+    r = random.Random(5)
+    words = {f"{''.join(r.sample('abcde', 5))}_dede" for _ in range(40)} | {"abced_dead", "dede_abcde"}
+    voc = spark.createDataFrame([(w, 1) for w in sorted(words)] + [("abcde_dede", 1000)], "word string, freq bigint")
+    ana = G.anagram_table(voc, LETTERS)
+    index = ana.select(F.lit(7).cast("bigint").alias("kwc"), "hash").distinct()
+    got = P.find_pairs(index, ana, voc, artifrq=1000, distance=2, low_length=2)
+    want, parts = brute_pairs({x.word: x.freq for x in voc.collect()}, [tuple(x) for x in index.collect()], [tuple(x) for x in ana.select("hash", "word").collect()], 1000, 2, 2)
+    assert len(parts) > 20 and {(x.part1, x.part2): x.n for x in got.part_counts.collect()} == parts
+    assert {(x.variant, x.candidate) for x in got.records.collect()} == set(want)
+
+
+def test_lookups_of_hot_keys(spark, monkeypatch):
+    from lexloom.operators import lookup as K
+
+    left = spark.createDataFrame([("a", i) for i in range(30)] + [("b", 1), ("c", 2), (None, 3)], "k string, v int")
+    right = spark.createDataFrame([("a", "x"), ("b", "y")], "r string, w string")
+    want = {how: sorted(map(str, K.lookup(left, "k", right, "r", how=how, hot=[]).collect())) for how in ("left", "inner", "left_semi", "left_anti")}
+    monkeypatch.setattr(K, "HOT_ROWS", 5)
+    assert K.hot_keys(left, "k") == ["a"]
+    assert {how: sorted(map(str, K.lookup(left, "k", right, "r", how=how).collect())) for how in want} == want
