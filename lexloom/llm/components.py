@@ -17,35 +17,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.lookup import hot_keys, lookup  # noqa: F401
 from ..session import Scratch
 
-#: A key with more than 1/HOT_SHARE of the rows is looked up by broadcast: there are fewer than HOT_SHARE such keys.
-HOT_SHARE = 64
 #: Pointer doubling and rounds are logarithmic; beyond this something is broken.
 MAX_STEPS = 64
 
 
-def lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, *, hot: list | None = None) -> DataFrame:
-    """Left outer lookup of unique `right_key` rows with the hot keys of `left` (a counted, bounded list) broadcast,
-    all others by a shuffled join. Columns of the two sides must differ."""
-    if hot is None:
-        hot = hot_keys(left, key)
-    if not hot:
-        return left.join(right, left[key] == right[right_key], "left")
-    few = F.broadcast(right.where(F.col(right_key).isin(hot)))
-    a = left.where(F.col(key).isin(hot)).join(few, F.col(key) == F.col(right_key), "left")
-    b = left.where(~F.coalesce(F.col(key).isin(hot), F.lit(False))).join(right, F.col(key) == F.col(right_key), "left")
-    return a.unionByName(b)
-
-
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, least: int = 100_000) -> list:
-    """Keys with more than 1/share of all rows and more than `least` rows: at most `share` of them."""
-    n = df.count()
-    if n <= least:
-        return []
-    return [r[0] for r in df.groupBy(key).count().where(F.col("count") > max(least, n // share)).select(key).collect()]
-
-
 def connected_components(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """(group_id, member): one row for each distinct record in `pairs`; group_id is the group's smallest member.
 

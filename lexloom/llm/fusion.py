@@ -2,7 +2,7 @@
 
 Each score is standardised by its median and median absolute deviation over all rows, squashed by the logistic function,
 so that outliers stay within (0, 1), and the bounded values are joined by a weighted geometric mean. Medians are exact:
-the range of each score is narrowed by histograms until the bin that holds the median holds one value.
+the range of each score's finite values is narrowed by histograms until the bin that holds the median holds one value.
 """
 
 from __future__ import annotations
@@ -30,10 +30,12 @@ class Score:
 
 
 def lower_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """The lower median (the value of rank ceil(n / 2)) of each numeric column over all its rows; nulls and NaN don't
-    count; null for a column without values. All columns are narrowed in the same passes; a pass sends at most BINS rows
-    a column to the driver."""
-    x = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
+    """The lower median (the value of rank ceil(n / 2)) of each numeric column over its finite values; nulls, NaN and
+    infinities don't count; null for a column without values. All columns are narrowed in the same passes; a pass sends at
+    most BINS rows a column to the driver. The least and the greatest value of a range never share a bin, so ranges shrink
+    until the median's bin holds one value."""
+    finite = lambda c: ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf")))
+    x = df.select(*[F.when(finite(c), F.col(c)).alias(c) for c in columns])
     first = x.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
     out: dict[str, float | None] = {}
     todo = {}
@@ -44,7 +46,10 @@ def lower_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
         else:
             todo[c] = ((n + 1) // 2, lo, hi)
     while todo:
-        pairs = [F.struct(F.lit(c).alias("c"), F.when(F.col(c).between(lo, hi), F.least(F.floor((F.col(c) - lo) / (hi - lo) * BINS), F.lit(BINS - 1))).alias("b"), F.col(c).alias("v")) for c, (_, lo, hi) in todo.items()]
+        # Halved, so that a range can't overflow.
+        share = lambda c, lo, hi: (F.col(c) / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+        bin_ = lambda c, lo, hi: F.when(F.col(c) == hi, BINS - 1).when(F.col(c) == lo, 0).otherwise(F.least(F.greatest(F.floor(share(c, lo, hi) * BINS), F.lit(0)), F.lit(BINS - 1)))
+        pairs = [F.struct(F.lit(c).alias("c"), F.when(F.col(c).between(lo, hi), bin_(c, lo, hi)).alias("b"), F.col(c).alias("v")) for c, (_, lo, hi) in todo.items()]
         got = x.select(F.explode(F.array(*pairs)).alias("p")).where("p.b is not null").groupBy("p.c", "p.b").agg(F.count(F.lit(1)).alias("n"), F.min("p.v").alias("lo"), F.max("p.v").alias("hi")).collect()
         for c in list(todo):
             rank = todo.pop(c)[0]
@@ -66,23 +71,22 @@ def fused(df: DataFrame, scores: list[Score]) -> Column:
     """The fused score in (0, 1) as a column over `df`.
 
     A null or NaN score takes no part, the other weights count in full; a row without any score has null. A score that
-    is the same in all rows gives one half. Infinite scores squash to the bounds.
+    is the same in all rows gives one half. Infinite scores squash to the bounds; they don't count for the medians.
     """
     names = [s.column for s in scores]
     x = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names])
-    mid = lower_medians(x, names)
+    mid = {c: v or 0.0 for c, v in lower_medians(x, names).items()}
     away = lower_medians(x.select(*[F.abs(F.col(c) - F.lit(mid[c])).alias(c) for c in names]), names)
-    flat = [c for c in names if mid[c] is not None and not away[c]]
+    flat = [c for c in names if not away[c]]
     if flat:  # more than half of the rows have the median: the mean deviation tells the others apart
-        mean = x.agg(*[F.avg(F.when(~F.isnan(c), F.abs(F.col(c) - F.lit(mid[c])))).alias(c) for c in flat]).first()
+        finite = lambda c: ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf")))
+        mean = x.agg(*[F.avg(F.when(finite(c), F.abs(F.col(c) - F.lit(mid[c])))).alias(c) for c in flat]).first()
     terms, weights = [], []
     for s in scores:
-        if mid[s.column] is None:
-            continue
-        width = MAD_SCALE * away[s.column] if away[s.column] else MEAN_SCALE * mean[s.column]
+        width = MAD_SCALE * away[s.column] if away[s.column] else MEAN_SCALE * (mean[s.column] or 0.0)
         v = F.col(f"`{s.column}`").cast("double")
         v = F.when(~F.isnan(v), v)
-        z = (v - mid[s.column]) / width if width else v * 0.0
+        z = F.when(F.abs(v) == F.lit(float("inf")), v).otherwise((v - mid[s.column]) / width if width else v * 0.0)
         # ln(1 / (1 + exp(-z))) without overflow; kept away from minus infinity.
         z = F.greatest(F.least(z if s.high else -z, F.lit(700.0)), F.lit(-700.0))
         terms.append(F.coalesce(-F.log1p(F.exp(-z)) * s.weight, F.lit(0.0)))

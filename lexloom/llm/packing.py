@@ -23,26 +23,32 @@ from ..session import Scratch
 
 #: Items of a part (the parts' sizes vary with the hash), and rounds of exchange.
 PART_ITEMS, ROUNDS = 20_000, 5
-#: Rank file of a public byte-level BPE, and its pattern of pieces (fixed value of the vocabulary).
+#: Default rank file, of a public byte-level BPE, and its pattern of pieces (fixed value of the vocabulary).
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str):
+def encoding(ranks: str | bytes):
+    """The tokenizer of a rank file, or of its content."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    if isinstance(ranks, str):
+        with open(ranks, "rb") as f:
+            ranks = f.read()
+    known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
 
 
 def token_counts(docs: DataFrame, doc_id: str, text: str, ranks: str = RANKS) -> DataFrame:
-    """(doc_id, tokens) of every document; null and empty texts have none. Whole texts are counted."""
+    """(doc_id, tokens) of every document; null and empty texts have none. Whole texts are counted. `ranks` is a rank file
+    that the driver can read (a megabyte); its content is sent to the executors."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    with open(ranks, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(ranks)
+        enc = encoding(shared.value)
         for b in batches:
             yield pd.DataFrame({doc_id: b["i"], "tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in b["t"]]})
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lookup import lookup
 from ..session import Scratch, table
 from .components import connected_components
 from .fusion import Score, fused_ranking
@@ -16,7 +17,7 @@ from .mojibake import garbled_texts
 from .packing import bound_of, pack, token_counts
 from .term_frequency import marked_terms
 from .top_n import top_n
-from .visual_form import same_look_pairs
+from .visual_form import same_look_groups, same_look_pairs, visual_forms
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +65,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look_pairs(table(spark, d, "rank_record"), ["variant", "lower_candidate"])
 
 
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every string that looks like another one, with the smallest string that it looks like as `group_text`."""
+    groups = Scratch(spark, "looks").save(same_look_groups(table(spark, d, "rank_record"), ["variant", "lower_candidate"]))
+    least = groups.groupBy(F.col("look").alias("_l")).agg(F.min("text").alias("group_text"))
+    return lookup(groups, "look", least, "_l").select("text", "group_text")
+
+
+def p6_forms(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "rank_record")
+    return visual_forms(r.select(F.explode(F.array("variant", "lower_candidate")).alias("text")), "text")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(table(spark, d, "rank_record"), "variant", "candidate", "rank", "rec_id", 5, only_longer=True).select("rec_id")
 
@@ -85,6 +98,20 @@ def p8_summary(spark: SparkSession, d: str) -> DataFrame:
         "containers", F.lit(bound_of(sizes, "tokens", P8_CAPACITY)).cast("bigint").alias("lower_bound"), "tokens", F.round(F.col("tokens") / (F.col("containers") * P8_CAPACITY), 6).alias("filled"))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What any packing must keep: documents placed, containers over the capacity, documents whose pieces don't hold their
+    tokens, documents split though they fit, and whether fewer containers are used than any packing needs."""
+    sizes = Scratch(spark, "tokens").save(token_counts(table(spark, d, "documents"), "doc_id", "text"))
+    placed = Scratch(spark, "placed").save(pack(sizes, "doc_id", "tokens", P8_CAPACITY))
+    bins = placed.where("container is not null").groupBy("container").agg(F.sum("tokens").alias("n"))
+    per = placed.groupBy(F.col("doc_id").alias("_d")).agg(F.sum("tokens").alias("held"), F.count(F.lit(1)).alias("pieces"))
+    docs = sizes.join(per, F.col("doc_id") == F.col("_d"), "full").agg(
+        F.count("_d").alias("documents"), F.count_if(~F.coalesce(F.col("held") == F.col("tokens"), F.lit(False))).alias("tokens_lost"),
+        F.count_if((F.col("tokens") <= P8_CAPACITY) & (F.col("pieces") > 1)).alias("split_without_need"))
+    full = bins.agg(F.count_if(F.col("n") > P8_CAPACITY).alias("over_capacity"), F.count(F.lit(1)).alias("n")).first()
+    return docs.withColumns({"over_capacity": F.lit(full.over_capacity).cast("bigint"), "below_bound": F.lit(full.n < bound_of(sizes, "tokens", P8_CAPACITY))})
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
 
@@ -103,7 +130,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_top_words, p2_found, p3_found, p3_terms, p5_ranking, p5_judged, p6_found, p7_found, p8_containers, p8_summary, p9_found, p9_paraphrases, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_top_words, p2_found, p3_found, p3_terms, p5_ranking, p5_judged, p6_found, p6_groups, p6_forms, p7_found, p8_containers, p8_summary, p8_checks, p9_found, p9_paraphrases, p10_found, p10_restored)
 }
 
 SQL: dict[str, str] = {
@@ -156,6 +183,18 @@ SQL["p6_found"] = """
         'ⅰⅴⅹⅼⅽⅾⅿⅠⅤⅩⅬⅭⅮⅯ' || 'АВЕЅІЈКМНОРСТУХаеѕіјорсухһёїӧӓ' || 'ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ', 'ivxlcdmIVXLCDM' || 'ABESIJKMHOPCTYXaesijopcyxhëïöä' || 'ABEZHIKMNOPTYXovp')) AS f FROM bare)
     SELECT a.t AS text_a, b.t AS text_b FROM form a JOIN form b ON a.f = b.f AND a.t < b.t"""
 
+SQL["p6_groups"] = f"WITH pairs AS ({SQL['p6_found']}) SELECT text, min(other) AS group_text FROM (SELECT text_b AS text, text_a AS other FROM pairs UNION ALL SELECT text_a, text_a FROM pairs) GROUP BY text"
+
+# Full-width forms by their offset; ligatures, Roman numerals and raised digits one by one; sharp s and both small sigmas fold.
+SQL["p6_forms"] = """
+    WITH seen AS (SELECT variant AS t FROM rank_record WHERE variant IS NOT NULL UNION SELECT lower_candidate FROM rank_record WHERE lower_candidate IS NOT NULL),
+    wide AS (SELECT string_agg(chr(CAST(65248 + k AS INT)), '' ORDER BY k) AS a, string_agg(chr(CAST(k AS INT)), '' ORDER BY k) AS b FROM (SELECT unnest(range(33, 127)) AS k)),
+    bare AS (SELECT t, regexp_replace(regexp_replace(t, '[\\x{AD}\\x{34F}\\x{61C}\\x{180B}-\\x{180F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FE00}-\\x{FE0F}\\x{FEFF}]', '', 'g'), '[\\s\\x1c-\\x1f\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]', ' ', 'g') AS x FROM seen)
+    SELECT t AS text, nfc_normalize(lower(nfc_normalize(translate(translate(x.replace(chr(64256), 'ff').replace(chr(64257), 'fi').replace(chr(64258), 'fl').replace(chr(64259), 'ffi').replace(chr(64260), 'ffl').replace('…', '...').replace('ß', 'ss').replace('ẞ', 'ss'), (SELECT a FROM wide), (SELECT b FROM wide)),
+        'ⅰⅴⅹⅼⅽⅾⅿⅠⅤⅩⅬⅭⅮⅯ' || '⁰¹²³⁴⁵⁶⁷⁸⁹ºªſς', 'ivxlcdmIVXLCDM' || '0123456789oasσ')))) AS form FROM bare"""
+
+SQL["p8_checks"] = "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS tokens_lost, CAST(0 AS BIGINT) AS split_without_need, CAST(0 AS BIGINT) AS over_capacity, false AS below_bound FROM documents"
+
 SQL["p9_found"] = """
     WITH d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '[\\x{AD}\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]', '', 'g'))), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
     i AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '[\\x{AD}\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]', '', 'g'))), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),

@@ -1,12 +1,15 @@
 """Occurrence and record counts of every distinct term by burst-trie counting.
 
-1. Routing. One SQL aggregation estimates the distinct terms under each prefix; a prefix with more terms than a leaf may
-   hold bursts into longer prefixes, which are counted in turn. The burst prefixes are few by construction (each holds
-   more than 1/LEAVES of the terms at its length) and go to every task.
-2. Accumulation. Each task adds its rows to a compact trie: terms in sorted order, each stored as the length of the part
-   shared with the term before and the rest, with two counters. A hot term is a single entry of a task, so its rows
-   never travel. A full trie is cut into the subtrees of its leaves and emitted as packed bytes.
-3. Merging. Subtrees of one leaf meet in one task and are merged one after another.
+1. Routing. One SQL aggregation estimates the distinct terms under each prefix; a prefix with more than LEAF_TERMS terms
+   bursts into longer prefixes, which are counted in turn. The burst prefixes are few (at each length one for LEAF_TERMS
+   terms at most) and go to every task.
+2. Accumulation. Each task adds its rows to a burst trie: the prefixes lead to containers, which hold the rest of each term
+   with its two counters. Equal terms of an Arrow batch are added up before they go in. A hot term is a single entry of a
+   task, so its rows never travel. A full trie is emitted as compact subtrees: the rests in sorted order, each as the length
+   of the part shared with the one before and what follows, with the counters.
+3. Merging. Subtrees of one prefix meet in one task and are merged one after another, like sizes with like; where many
+   tasks bring subtrees, their merging is first spread over several tasks for each prefix. No task holds more than the
+   terms of one prefix, which don't grow with the data.
 """
 
 from __future__ import annotations
@@ -18,20 +21,22 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-#: A prefix bursts when it holds more than this share (1/LEAVES) of the estimated distinct terms.
-LEAVES = 256
+#: A prefix bursts when it holds more than this number of distinct terms, as estimated.
+LEAF_TERMS = 50_000
 #: Characters by which the routing looks ahead in one pass.
 LOOK = 4
 #: Distinct terms that a task's trie holds before it is emitted.
 TRIE_TERMS = 400_000
+#: Tasks whose subtrees of one prefix are merged by a single task.
+FAN_IN = 64
 
 
-def routing(terms: DataFrame, leaves: int = LEAVES) -> list[str]:
-    """The burst prefixes: those with more than 1/leaves of the distinct terms, all their shorter prefixes included."""
+def routing(terms: DataFrame, cap: int = LEAF_TERMS) -> list[str]:
+    """The burst prefixes: those with more than `cap` distinct terms, all their shorter prefixes included."""
     total = terms.agg(F.approx_count_distinct("term").alias("n")).first().n or 0
-    cap = max(1000, total // leaves)
     burst: list[str] = []
     front, depth = None, 0
     while total > cap:
@@ -39,7 +44,7 @@ def routing(terms: DataFrame, leaves: int = LEAVES) -> list[str]:
         if front is not None:
             pool = pool.where(F.substring("term", 1, depth).isin(front))
         ends = pool.groupBy(F.substring("term", 1, depth + LOOK).alias("p")).agg(F.approx_count_distinct("term").alias("n"))
-        # Each length's prefixes over the cap; at most `leaves` for each length.
+        # Each length's prefixes over the cap; at most total / cap for each length.
         sums = ends.select(F.explode(F.sequence(F.lit(depth + 1), F.lit(depth + LOOK))).alias("len"), "p", "n")
         full = (sums.where(F.col("len") <= F.length("p")).groupBy("len", F.expr("substring(p, 1, len)").alias("p")).agg(F.sum("n").alias("n")).where(F.col("n") > cap).collect())
         burst += [r.p for r in full]
@@ -99,80 +104,104 @@ def merge(a: tuple, b: tuple) -> tuple[list[str], list[int], list[int]]:
     return terms, occ, rec
 
 
+class BurstTrie:
+    """Prefixes lead to containers of the rests of the terms, each with its occurrences and records."""
+
+    def __init__(self, burst: frozenset[str]):
+        self.burst = burst
+        self.containers: dict[str, dict[str, list[int]]] = {}
+        self.size = 0
+
+    def add(self, terms: list[str], occ: list[int], rec: list[int]) -> None:
+        burst, containers = self.burst, self.containers
+        for term, o, r in zip(terms, occ, rec, strict=True):
+            n, most = 1, len(term)
+            while n < most and term[:n] in burst:
+                n += 1
+            held = containers.get(term[:n])
+            if held is None:
+                held = containers[term[:n]] = {}
+            counters = held.get(term[n:])
+            if counters is None:
+                held[term[n:]] = [o, r]
+                self.size += 1
+            else:
+                counters[0] += o
+                counters[1] += r
+
+    def subtrees(self) -> Iterator[tuple[str, bytes]]:
+        """Each prefix with its packed subtree. The trie is empty afterwards."""
+        for prefix, held in self.containers.items():
+            rests = sorted(held)
+            yield prefix, pack(rests, [held[x][0] for x in rests], [held[x][1] for x in rests])
+        self.containers, self.size = {}, 0
+
+
 def _accumulate(burst: list[str], most: int):
     inner = frozenset(burst)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        size = 0
-
-        def collapse() -> pa.Table:
-            t = pa.concat_tables(held).group_by("term").aggregate([("occ", "sum"), ("rec", "sum")])
-            return pa.table({"term": t["term"], "occ": t["occ_sum"], "rec": t["rec_sum"]})
-
-        def emit() -> pa.RecordBatch | None:
-            t = collapse()
-            terms = t["term"].to_pylist()
-            order = sorted(range(len(terms)), key=terms.__getitem__)
-            terms, occ, rec = [terms[i] for i in order], t["occ"].take(order).to_pylist(), t["rec"].take(order).to_pylist()
-            leaves, blobs, at = [], [], 0
-            ends = [leaf_of(x, inner) for x in terms]
-            # The terms of a leaf are neighbours, except that a burst prefix that is itself a term stands before them.
-            for i in range(1, len(terms) + 1):
-                if i == len(terms) or ends[i] != ends[at]:
-                    leaves.append(ends[at])
-                    blobs.append(pack(terms[at:i], occ[at:i], rec[at:i]))
-                    at = i
-            return pa.record_batch([pa.array(leaves, pa.string()), pa.array(blobs, pa.binary())], ["leaf", "subtree"])
+        trie = BurstTrie(inner)
+        task = TaskContext.get().partitionId()
+
+        def emit() -> pa.RecordBatch:
+            out = list(trie.subtrees())
+            return pa.record_batch([pa.array([p for p, _ in out], pa.string()), pa.array([task] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], ["leaf", "task", "subtree"])
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(pa.table({"term": b["term"].cast(pa.string()), "occ": pc.fill_null(b["occ"], 0), "rec": b["rec"]}))
-            size += b.num_rows
-            if size >= most:
-                held = [collapse()]
-                size = held[0].num_rows
-                if size >= most // 2:
-                    yield emit()
-                    held, size = [], 0
-        if held:
+            t = pa.table({"term": b["term"].cast(pa.string()), "occ": pc.fill_null(b["occ"], 0), "rec": b["rec"]}).group_by("term").aggregate([("occ", "sum"), ("rec", "sum")])
+            trie.add(t["term"].to_pylist(), t["occ_sum"].to_pylist(), t["rec_sum"].to_pylist())
+            if trie.size >= most:
+                yield emit()
+        if trie.size:
             yield emit()
 
     return run
 
 
-def _merge_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    leaf, parts = None, []
+def _merge_leaves(packed: bool):
+    """Merges the neighbouring subtrees of each prefix: into one packed subtree again, or into rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, task, parts = None, 0, []
+
+        def done() -> pa.RecordBatch:
+            while len(parts) > 1:  # pairwise, smallest first
+                parts.sort(key=lambda x: len(x[0]))
+                parts.append(merge(parts.pop(0), parts.pop(0)))
+            t, o, r = parts[0]
+            if packed:
+                return pa.record_batch([pa.array([leaf], pa.string()), pa.array([task], pa.int32()), pa.array([pack(t, o, r)], pa.binary())], ["leaf", "task", "subtree"])
+            return pa.record_batch([pa.array([leaf + x for x in t], pa.string()), pa.array(o, pa.int64()), pa.array(r, pa.int64())], ["term", "occurrences", "records"])
 
-    def done() -> pa.RecordBatch:
-        while len(parts) > 1:  # pairwise, smallest first
-            parts.sort(key=lambda x: len(x[0]))
-            parts.append(merge(parts.pop(0), parts.pop(0)))
-        t, o, r = parts[0]
-        return pa.record_batch([pa.array(t, pa.string()), pa.array(o, pa.int64()), pa.array(r, pa.int64())], ["term", "occurrences", "records"])
+        for b in batches:
+            for name, number, blob in zip(b["leaf"].to_pylist(), b["task"].to_pylist(), b["subtree"].to_pylist(), strict=True):
+                if leaf is not None and name != leaf:
+                    yield done()
+                    parts = []
+                leaf, task = name, number
+                parts.append(unpack(blob))
+                while len(parts) > 1 and 2 * len(parts[-1][0]) >= len(parts[-2][0]):  # like with like: each term is merged log times
+                    parts.append(merge(parts.pop(), parts.pop()))
+        if parts:
+            yield done()
 
-    for b in batches:
-        for name, blob in zip(b["leaf"].to_pylist(), b["subtree"].to_pylist(), strict=True):
-            if leaf is not None and name != leaf:
-                yield done()
-                parts = []
-            leaf = name
-            parts.append(unpack(blob))
-            while len(parts) > 1 and 2 * len(parts[-1][0]) >= len(parts[-2][0]):  # like with like: each term is merged log times
-                parts.append(merge(parts.pop(), parts.pop()))
-    if parts:
-        yield done()
+    return run
 
 
-def term_frequency(counts: DataFrame, term: str, occurrences: str, *, leaves: int = LEAVES, trie_terms: int = TRIE_TERMS) -> DataFrame:
+def term_frequency(counts: DataFrame, term: str, occurrences: str, *, leaf_terms: int = LEAF_TERMS, trie_terms: int = TRIE_TERMS) -> DataFrame:
     """(term, occurrences, records) from rows that are distinct records of a term: `records` counts the rows of a term,
     `occurrences` sums the column (null counts 0). Null terms are left out; the empty text is a term; an empty table
     gives no rows; further columns are not read."""
     rows = counts.select(F.col(f"`{term}`").alias("term"), F.col(f"`{occurrences}`").cast("bigint").alias("occ"), F.lit(1).cast("bigint").alias("rec")).where(F.col("term").isNotNull())
-    burst = routing(rows.select("term"), leaves)
-    tries = rows.mapInArrow(_accumulate(burst, trie_terms), "leaf string, subtree binary")
-    return tries.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_merge_leaves, "term string, occurrences bigint, records bigint")
+    burst = routing(rows.select("term"), leaf_terms)
+    schema = "leaf string, task int, subtree binary"
+    tries = rows.mapInArrow(_accumulate(burst, trie_terms), schema)
+    fan = tries.rdd.getNumPartitions() // FAN_IN
+    while fan > 1:
+        tries = tries.withColumn("task", F.pmod("task", F.lit(fan))).repartition("leaf", "task").sortWithinPartitions("leaf", "task").mapInArrow(_merge_leaves(True), schema)
+        fan //= FAN_IN
+    return tries.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_merge_leaves(False), "term string, occurrences bigint, records bigint")
 
 
 def marked_terms(lines: DataFrame, record: str, line: str, term: str, occurrences: str, *, rare: int = 2, common: float = 0.6, scratch=None) -> DataFrame:

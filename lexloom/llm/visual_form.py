@@ -1,9 +1,9 @@
 """One form for text that looks the same.
 
 `compat_form` is compatibility normalisation in composed form with full case folding, mapped blanks and
-default-ignorable characters removed. `reader_form` is narrower (letter case, raised digits and long s stay) and wider
-(look-alike letters of other scripts), as "looks the same to a reader" is. Only distinct values with a character outside
-printable ASCII reach Python, as Arrow batches.
+default-ignorable characters removed. Texts of the same form, once look-alike letters of other scripts are mapped, make a
+class. Within a class `reader_form` tells apart what a reader does: letter case, raised digits and long s. Only distinct
+values with a character outside printable ASCII reach Python, as Arrow batches, and those alone in their class are done.
 """
 
 from __future__ import annotations
@@ -14,7 +14,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
+
+from ..operators.lookup import lookup
+from ..session import Scratch
+
+#: Strings of a group whose pairs with the group are made by one task.
+PART = 1000
 
 # Letters of other scripts with the shape of an ASCII letter.
 LOOK_ALIKES = (
@@ -23,7 +30,7 @@ LOOK_ALIKES = (
     ("Greek capitals", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),
     ("Greek small", "ονϲϳρ", "ovcjp"),
     ("Armenian", "օսոհցՕՍ", "ounhgOU"),
-    ("Latin letters beyond ASCII", "ɡɑı", "gai"),
+    ("Latin letters beyond ASCII", "ɡɑ", "ga"),
 )
 # Default_Ignorable_Code_Point of the Unicode Character Database, as code point ranges.
 IGNORABLE = (
@@ -67,40 +74,70 @@ def compat_form(text: str) -> str:
     return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
 
 
+def _alike_form(text: str) -> str:
+    """Look-alike letters mapped, also under an accent."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_alike))
+
+
+def class_form(text: str) -> str:
+    """`compat_form` with look-alike letters mapped. Letters are mapped before their case is folded, as capitals and small
+    letters look like different ones, and after what normalisation brings to light."""
+    return compat_form(_alike_form(unicodedata.normalize("NFKC", _any_blank.sub(" ", _ignorable.sub("", text)))))
+
+
 def reader_form(text: str) -> str:
     """Equal for texts that a reader sees as the same: case, accents, raised digits, long s and all differences
     between ASCII characters stay."""
     if text.isascii():
         return text
     text = _odd_blank.sub(" ", _ignorable.sub("", text))
-    text = "".join([ch if ch < "\x80" else _same_shape(ch) for ch in text])
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_alike))
+    return _alike_form("".join([ch if ch < "\x80" else _same_shape(ch) for ch in text]))
 
 
-def visual_forms(values: DataFrame, column: str, *, reader: bool = False) -> DataFrame:
-    """(text, form) for every distinct non-null value of `column`: `compat_form`, or with `reader` the narrower
-    `reader_form`. Empty text has the empty form, an empty table gives no rows, other columns are not read."""
-    distinct = values.select(F.col(f"`{column}`").alias("text")).where(F.col("text").isNotNull()).distinct()
-    one = reader_form if reader else compat_form
+def _formed(distinct: DataFrame, one, name: str, easy: Column) -> DataFrame:
+    """`distinct` (text, ...) with a form; texts of printable ASCII have the expression `easy`, the others go through `one`."""
+    plain = F.col("text").rlike(PLAIN)
+    schema = T.StructType([*distinct.schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"text": b["text"], "form": [one(x) for x in b["text"]]})
+            yield b.assign(**{name: [one(x) for x in b["text"]]})
 
-    plain = F.col("text").rlike(PLAIN)
-    easy = distinct.where(plain).select("text", (F.col("text") if reader else F.lower("text")).alias("form"))
-    return easy.unionByName(distinct.where(~plain).mapInPandas(run, "text string, form string"))
+    return distinct.where(plain).withColumn(name, easy).unionByName(distinct.where(~plain).mapInPandas(run, schema))
+
+
+def visual_forms(values: DataFrame, column: str) -> DataFrame:
+    """(text, form) for every distinct non-null value of `column`, form being `compat_form`. Empty text has the empty form,
+    an empty table gives no rows, other columns are not read."""
+    distinct = values.select(F.col(f"`{column}`").alias("text")).where(F.col("text").isNotNull()).distinct()
+    return _formed(distinct, compat_form, "form", F.lower("text"))
 
 
-def same_look_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(text_a, text_b), text_a < text_b: different strings of the columns that a reader sees as the same text: equal
-    but for width, composition of accents, invisible characters, kind of blank and same-shaped letters. Letter case,
-    accents, raised digits and long s count. Nulls take no part; an empty table gives no rows.
+def same_look_groups(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(text, look): the strings of the columns that a reader sees as the same text as another one, `look` being the same for
+    all strings that look the same: equal but for width, composition of accents, invisible characters, kind of blank and
+    same-shaped letters. Letter case, accents, raised digits and long s count. Nulls take no part; an empty table gives
+    no rows.
 
-    Two strings of printable ASCII never pair, so one side holds only the others.
+    Candidates are the classes of strings with the same compatibility form; only classes of two and more strings, not all
+    of printable ASCII, are told apart by the narrower form. Counting is partially aggregated, so a class may be of any size.
     """
-    values = df.select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("text"))
-    forms = visual_forms(values, "text", reader=True)
-    odd = forms.where(~F.col("text").rlike(PLAIN)).select("form", F.col("text").alias("a"))
-    both = odd.join(forms.select("form", F.col("text").alias("b")), "form").where("a <> b")
-    return both.select(F.least("a", "b").alias("text_a"), F.greatest("a", "b").alias("text_b")).distinct()
+    values = df.select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("text")).where(F.col("text").isNotNull()).distinct()
+    classed = Scratch(df.sparkSession, "looks").save(_formed(values, class_form, "class", F.lower("text")))
+    # Two strings of printable ASCII never look the same, so a class needs another one.
+    sizes = classed.groupBy(F.col("class").alias("_c")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("text").rlike(PLAIN)).alias("odd"))
+    candidates = lookup(classed, "class", sizes.where("n > 1 and odd").select("_c"), "_c", how="left_semi")
+    looks = Scratch(df.sparkSession, "looks").save(_formed(candidates, reader_form, "look", F.col("text")).select("text", "look"))
+    many = looks.groupBy(F.col("look").alias("_l")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_l")
+    return lookup(looks, "look", many, "_l", how="left_semi")
+
+
+def same_look_pairs(df: DataFrame, columns: list[str], part: int = PART) -> DataFrame:
+    """(text_a, text_b), text_a < text_b: the pairs within the groups of `same_look_groups`. A large group's pairs are made
+    in parts of about `part` strings against the group, so no task makes them all."""
+    groups = Scratch(df.sparkSession, "looks").save(same_look_groups(df, columns))
+    sizes = groups.groupBy(F.col("look").alias("_l")).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    rows = lookup(groups, "look", sizes, "_l")
+    left = rows.select("look", F.col("text").alias("a"), F.pmod(F.xxhash64("text"), F.col("parts")).cast("int").alias("p"))
+    right = rows.select("look", F.col("text").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+    return left.join(right, ["look", "p"]).where("a < b").select(F.col("a").alias("text_a"), F.col("b").alias("text_b"))

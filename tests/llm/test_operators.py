@@ -102,9 +102,10 @@ def test_tries_merge(a, b):
     assert TF.merge(trie(a), trie(b)) == trie(both)
 
 
-@pytest.mark.parametrize("leaves,size", [(256, 400_000), (2, 7)])
-def test_marked_terms(spark, leaves, size, monkeypatch):
-    monkeypatch.setattr(TF.term_frequency, "__kwdefaults__", {"leaves": leaves, "trie_terms": size})
+@pytest.mark.parametrize("leaf,size,fan", [(50_000, 400_000, 64), (3, 7, 2)])
+def test_marked_terms(spark, leaf, size, fan, monkeypatch):
+    monkeypatch.setattr(TF.term_frequency, "__kwdefaults__", {"leaf_terms": leaf, "trie_terms": size})
+    monkeypatch.setattr(TF, "FAN_IN", fan)
     r = random.Random(3)
     lines = [(lst, no, r.choice(["de", "de", "het", f"w{r.randrange(400)}", "", None, "z" * 20_000 if no == 7 and lst < 4 else "kort"]), r.choice([None, 0, 1, 2, 9])) for lst in range(10) for no in range(120)]
     lines += r.sample(lines, 100)
@@ -123,7 +124,7 @@ def test_marked_terms(spark, leaves, size, monkeypatch):
 
 def test_routing_bursts_full_prefixes(spark):
     terms = spark.createDataFrame([(f"abcdef{i:05}",) for i in range(5000)] + [(f"{c}x",) for c in "mnop"], "term string")
-    burst = TF.routing(terms, 4)
+    burst = TF.routing(terms, 1250)
     assert "abcdef" in burst and "m" not in burst
     leaves = Counter(TF.leaf_of(f"abcdef{i:05}", frozenset(burst)) for i in range(5000))
     assert max(leaves.values()) < 2500 and TF.leaf_of("abc", frozenset(burst)) == "abc"
@@ -132,6 +133,16 @@ def test_routing_bursts_full_prefixes(spark):
 # 5
 
 
+@pytest.mark.parametrize("xs", [[1.0, 2.0, 3.0, math.inf], [-math.inf, math.inf], [math.inf] * 5 + [1.0, 7.0], [-1.7e308, 1.7e308, 1.0, 2.0], [5e-324, 1e-323, 0.0, 2e-323]])
+def test_scores_without_bounds(spark, xs):
+    df = spark.createDataFrame([("g", f"i{i}", x) for i, x in enumerate(xs)], "g string, i string, x double")
+    finite = sorted(x for x in xs if abs(x) < math.inf)
+    assert FU.lower_medians(df, ["x"]) == {"x": finite[(len(finite) - 1) // 2] if finite else None}
+    got = {r.i: r.score for r in FU.fused_ranking(df, "g", "i", [FU.Score("x")]).collect()}
+    order = sorted(range(len(xs)), key=lambda i: xs[i])
+    assert all(got[f"i{a}"] <= got[f"i{b}"] for a, b in zip(order, order[1:], strict=False)) and all(got[f"i{i}"] in (0.0, 1.0) for i, x in enumerate(xs) if abs(x) == math.inf)
+
+
 def test_medians(spark):
     r = random.Random(5)
     cols = {"a": [r.gauss(0, 1) for _ in range(501)], "b": [r.choice([1, 1, 1, 7]) for _ in range(501)], "c": [None] * 501, "d": [float("nan")] * 250 + [2.0**60 + i for i in range(251)], "e": [5] * 501}
@@ -190,7 +201,15 @@ def test_forms_are_fixed_points(text):
     assert VF.reader_form(VF.reader_form(text)) == VF.reader_form(text)
 
 
-def test_same_look_pairs(spark):
+@settings(max_examples=1500, deadline=None)
+@given(st.text("aeiAEI \t" + "".join(x for _, x, _ in VF.LOOK_ALIKES) + "ｅＥ²ſßﬁﬅⅿⅯİıÅÅéëϊΐ" + "".join(map(chr, (0x300, 0x301, 0x308, 0x327, 0x345, 0x200B, 0xAD, 0xA0, 0x3000, 0x2028, 0x85, 0x1D400, 0x1C4, 0x1F88, 0x149, 0xFB03))), max_size=8) | st.text(max_size=8))
+def test_classes_hold_all_that_looks_the_same(text):
+    assert VF.class_form(VF.reader_form(text)) == VF.class_form(text)
+
+
+@pytest.mark.parametrize("part", [1, 1000])
+def test_same_look_pairs(spark, part, monkeypatch):
+    monkeypatch.setattr(VF.same_look_pairs, "__defaults__", (part,))
     words = ["abc", "ａbc", "a" + chr(0x200B) + "bc", "ABC", None, "", "é", "e" + chr(0x301), "x" * 50_000, "x" * 50_000 + chr(0xFE0F), "abc"]
     rows = [(w, words[-1 - i]) for i, w in enumerate(words)]
     got = {(x.text_a, x.text_b) for x in VF.same_look_pairs(table(spark, rows, "variant string, low string"), ["variant", "low"]).collect()}
@@ -295,7 +314,9 @@ def brute_leaks(docs, items, run):
 
 
 def test_leaks(spark, monkeypatch):
-    monkeypatch.setattr(LK, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(LK, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(LK, "PIECE", 64)
+    monkeypatch.setattr(LK, "GROUP_WORDS", 150)
     r = random.Random(9)
     vocabulary = [f"w{min(int(r.paretovariate(0.7)), 800)}" for _ in range(4000)]
     text = lambda n: " ".join(r.choices(vocabulary, k=n))
@@ -338,21 +359,59 @@ def test_paraphrases_in_longer_texts(spark):
     assert {(x.doc, x.item): round(x.lcs, 3) for x in got.collect()} == {(1, 7): 1.0, (2, 8): 0.7}
 
 
-@pytest.mark.parametrize("halves", [2, 256])
-def test_no_paraphrase_is_passed_over(halves, monkeypatch):
-    monkeypatch.setattr(LK, "HALVES", halves)
+@pytest.mark.parametrize("quarters", [2, 512])
+def test_no_paraphrase_is_passed_over(quarters, monkeypatch):
+    monkeypatch.setattr(LK, "QUARTERS", quarters)
     r = random.Random(12)
-    block = LK.Block([(i, [f"w{r.randint(0, 60)}" for _ in range(r.choice([3, 8, 20, 70]))]) for i in range(12)], 13)
-    starts, kept = LK._holding(block, 0.6), 0
-    for n in (0, 1, 15, 16, 17, 33, 400):
-        ids = np.array([r.choice([-1, -1, r.randrange(len(block.vocabulary))]) for _ in range(n)], dtype=np.int32)
-        at = starts(ids).tolist()
-        want = [k for k in range(0, max(1, n - 16), 16) if any(sum(w in set(p.tolist()) for w in ids[k : k + 32].tolist()) / len(p) >= 0.6 for _, p in block.passages)]
-        assert at == want
-        kept += len(at)
+    block, kept = LK.Block([(i, 13, [f"w{r.randint(0, 60)}" for _ in range(r.choice([3, 8, 20, 70]))]) for i in range(12)]), 0
+    for width in LK.WIDTHS:
+        starts, q = LK._holding(block, width, 0.6), width // 4
+        mine = [p for _, p in block.passages if LK.width_of(len(p)) == width]
+        for n in (0, 1, 15, 16, 17, 33, 400):
+            ids = np.array([r.choice([-1, -1, r.randrange(len(block.vocabulary))]) for _ in range(n)], dtype=np.int32)
+            at = starts(ids).tolist()
+            around = lambda k, ids=ids, q=q: ids[max(0, (k - 1) * q) : (k + 5) * q].tolist()
+            want = [k for k in range(max(1, -(-n // q) - 3)) if any(sum(w in set(p.tolist()) for w in around(k)) / len(p) >= 0.6 for p in mine)]
+            assert at == want
+            kept += len(at)
     assert kept
 
 
+def test_common_words_beside_a_leak_hide_nothing(spark):
+    items = [(1, " ".join(f"a{i}" for i in range(13)) + " rest"), (2, "luid " * 5 + "slot")]
+    docs = [(1, " ".join(f"a{i}" for i in range(13)) + " luid" * 40), (2, "luid " * 19 + " ".join(f"a{i}" for i in range(13)) + " luid" * 19), (3, "luid " * 40)]
+    docs += [(10 + i, f"a{i % 13} luid anders") for i in range(40)]
+    got = LK.leaked_items(table(spark, docs, "doc bigint, text string"), "doc", "text", table(spark, items, "item bigint, text string"), "item", "text", rank=1)
+    assert {(x.doc, x.item) for x in got.collect()} == brute_leaks(docs, items, 13) >= {(1, 1), (2, 1)}
+
+
+def test_recall_of_rewritten_passages(spark):
+    r = random.Random(14)
+    words = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 10) for i in range(3000)]
+    text = lambda n: r.choices(words, weights, k=n)
+    items = [(i, text(r.choice([9, 14, 30, 60, 150]))) for i in range(60)]
+    docs = [(d, text(r.randrange(20, 200))) for d in range(200)]
+    planted = set()
+    for d in range(0, 200, 2):
+        i, ws = r.choice(items)
+        at = r.randrange(max(1, len(ws) - 40)) if len(ws) > 60 else 0
+        part = [w if k % 10 not in (1, 4, 8) else f"nieuw{r.randrange(10**6)}" for k, w in enumerate(ws[at : at + 60])]
+        docs[d][1][7:7] = part
+        planted.add((d, i))
+    rows = [(d, " ".join(t)) for d, t in docs]
+    got = LK.leaked_items(table(spark, rows, "doc bigint, text string"), "doc", "text", table(spark, [(i, " ".join(t)) for i, t in items], "item bigint, text string"), "item", "text", exact=False)
+    found = {(x.doc, x.item) for x in got.collect()}
+    assert len(planted & found) >= 0.9 * len(planted)
+
+
+def test_answers(spark):
+    items = spark.createDataFrame([(1, "wie schreef het boek over de zee en de kust", "jan smit"), (2, "een twee drie vier vijf zes zeven acht", None)], "item bigint, text string, answer string")
+    docs = [(1, "wie schreef nu het boek over de zee en kust dat was Jan Smit"), (2, "wie schreef nu het boek over de zee en kust dat was Piet"), (3, "een twee drie vier vijf zes zeven acht")]
+    got = LK.leaked_items(spark.createDataFrame(docs, "doc bigint, text string"), "doc", "text", items, "item", "text", exact=False, item_answer="answer", least_cosine=0.5)
+    assert {(x.doc, x.item): x.answered for x in got.collect()} == {(1, 1): True, (2, 1): False, (3, 2): None}
+
+
 def test_svd_spans_the_passages(spark):
     r = np.random.default_rng(0)
     parts = [r.integers(0, 60, size=20).astype(np.int32) for _ in range(40)]
