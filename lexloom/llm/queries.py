@@ -130,8 +130,8 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_trial(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out accuracy on the table's own texts: every second one beyond ASCII that isn't found garbled is read in a wrong
-    encoding. Whether at least 0.95 of those are found, 0.95 of what is found is one of them, and 0.9 of those found are
+    """Held-out accuracy on the table's own texts: those beyond ASCII that aren't found garbled, and of these each with an id divisible
+    by 50 is read in a wrong encoding. Whether at least 0.95 of those are found, 0.95 of what is found is one of them, and 0.9 of those found are
     restored to the letter."""
     docs = table(spark, d, "documents").select("doc_id", "lang", "text")
     model = fit(docs, "text", "lang", "doc_id")
@@ -141,7 +141,7 @@ def p10_trial(spark: SparkSession, d: str) -> DataFrame:
 
     def damage(batches):
         for b in batches:
-            hit = [i % 2 == 0 for i in b["doc_id"]]
+            hit = [i % 50 == 0 for i in b["doc_id"]]
             yield b.assign(right=b["text"], damaged=hit, text=[misread(t) if h else t for t, h in zip(b["text"], hit, strict=True)])
 
     trial = scratch.save(good.mapInPandas(damage, "doc_id bigint, lang string, text string, right string, damaged boolean"))
