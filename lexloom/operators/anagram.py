@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -10,6 +14,8 @@ from .alphabet import multisets
 
 #: Confusions that every key may be multiplied by.
 MOST_CONFUSIONS = 20_000
+#: Keys of up to this number are sent to every task (16 MB); sums that a task sorts at a time.
+SENT_KEYS, MEET_ROWS = 2_000_000, 1_000_000
 
 
 def anagram_table(words: DataFrame, alphabet: dict[str, int], word: str = "word") -> DataFrame:
@@ -87,15 +93,50 @@ def index_by_focus(keys: DataFrame, confusions: DataFrame, foci_hashes: DataFram
 def index_by_difference(keys: DataFrame, values: list[tuple[str, int]], distance: int, foci_hashes: DataFrame | None = None) -> DataFrame:
     """The same pairs for the full set of confusions of a distance, met in the middle: values v < w belong together if
     v plus a string of up to `distance` symbols equals w plus another, so each key is only multiplied by the strings
-    (861 for 40 symbols and distance 2) instead of the confusions (over 300,000)."""
+    (861 for 40 symbols and distance 2) instead of the confusions (over 300,000).
+
+    Up to SENT_KEYS keys (counted, 8 bytes each) are sent to the tasks, each of which makes the sums of one residue class
+    and needs no shuffle; more are multiplied and joined by their sums."""
     sums = sorted({v for _, _, v in multisets(values, distance)})
     k = keys.select("hash").distinct()
+    held = np.array([r.hash for r in k.limit(SENT_KEYS + 1).collect()], dtype=np.int64)
+    if len(held) <= SENT_KEYS:
+        return _focus(_met(keys.sparkSession, held, np.array(sums, dtype=np.int64)), foci_hashes)
     # The plan can't know how much explode makes of the keys, so it must be told to shuffle; once, for both sides.
     ahead = k.select("hash", F.explode(F.transform(X.literal(sums, "array<bigint>"), lambda x: F.col("hash") + x)).alias("m")).repartition("m")
     pairs = ahead.hint("merge").join(ahead.select(F.col("hash").alias("up"), "m").hint("merge"), "m").where("hash < up")
     return _focus(pairs.select((F.col("up") - F.col("hash")).alias("kwc"), "hash").distinct(), foci_hashes)
 
 
+def _met(spark: SparkSession, keys: np.ndarray, sums: np.ndarray) -> DataFrame:
+    """(kwc, hash) of the keys that meet, by residue classes of the sums."""
+    classes = max(1, len(keys) * len(sums) // MEET_ROWS)
+    keys = keys[np.argsort(keys % classes, kind="stable")]
+    starts = np.searchsorted(keys % classes, np.arange(classes + 1))
+    shared = spark.sparkContext.broadcast((keys, starts, sums))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, starts, sums = shared.value
+        for b in batches:
+            for r in b["id"]:
+                residue = (r - sums) % classes
+                mine = [keys[starts[x] : starts[x + 1]] for x in residue.tolist()]
+                hashes = np.concatenate(mine)
+                met = hashes + np.repeat(sums, [len(x) for x in mine])
+                order = np.argsort(met)
+                met, hashes = met[order], hashes[order]
+                found, apart = [], 1
+                while len(at := np.flatnonzero(met[apart:] == met[:-apart])):
+                    low, high = np.minimum(hashes[at], hashes[at + apart]), np.maximum(hashes[at], hashes[at + apart])
+                    found.append(np.stack([high - low, low], axis=1))
+                    apart += 1
+                pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
+                yield pd.DataFrame({"kwc": pairs[:, 0], "hash": pairs[:, 1]})
+
+    rows = spark.range(0, classes, 1, min(classes, 8 * spark.sparkContext.defaultParallelism))
+    return rows.mapInPandas(run, "kwc bigint, hash bigint").distinct()
+
+
 def build_index(keys: DataFrame, values: list[tuple[str, int]], distance: int, confusions: DataFrame, foci_hashes: DataFrame | None = None) -> DataFrame:
     """The index by the cheapest of the three ways, estimated from counts: probes of the keys times the confusions, of
     the foci times the keys within the band, or of the keys times the strings."""

@@ -21,7 +21,8 @@ from ..session import Scratch
 @dataclass
 class Pipeline:
     """Settings of a run; `modes` are the letters of the steps wanted, each with those it needs: a counts, b classifies,
-    c anagrams, d index, e pairs, f ranks, chains and cleans."""
+    c anagrams, d index, e pairs, f ranks, chains and cleans. An alphabet that is built from the words has their characters of
+    a frequency of `alphabet_clip` at least; the confusions of two grow with its fourth power, so a large one needs a clip."""
 
     spark: SparkSession
     distance: int = 2
@@ -31,6 +32,7 @@ class Pipeline:
     high_length: int = 35
     skip: tuple[int, ...] = ()
     acronyms: bool = False
+    alphabet_clip: int = 1
     steps: dict[str, DataFrame] = field(default_factory=dict)
 
     def run(self, *, texts: DataFrame | None = None, text: str = "text", lexicon: DataFrame | None = None, background: DataFrame | None = None, alphabet: DataFrame | None = None, ngram: int = 1, classify: bool = True, modes: str = "abcdef",
@@ -43,7 +45,7 @@ class Pipeline:
         words = lexicon if lexicon is not None else L.word_count(texts, text, ngram)
         out["words"] = words = scratch.save(words.select("word", "freq"))
         if alphabet is None:
-            alphabet = A.alphabet_build(A.char_count(words, "word"), clip=1, separator=X.SEPARATOR)
+            alphabet = A.alphabet_build(A.char_count(words, "word"), clip=self.alphabet_clip, separator=X.SEPARATOR)
         rows = alphabet.collect()
         values, table = X.alphabet_values(rows), A.symbols(rows)
         letters = "".join(values)

@@ -106,6 +106,13 @@ def emphasis_runs(spark: SparkSession, d: str) -> DataFrame:
     return L.emphasis_runs(table(spark, d, "documents"), "text", "doc_id")
 
 
+@query
+def emphasis_runs_spaced(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of words that are written with spaces between all their characters."""
+    spaced = table(spark, d, "read_words").select("row_id", F.array_join(F.split("wrd", ""), " ").alias("text"))
+    return L.emphasis_runs(spaced, "text", "row_id")
+
+
 @query
 def xml_text_nodes(spark: SparkSession, d: str) -> DataFrame:
     """The text nodes of documents put into XML, a node for each line."""
@@ -190,7 +197,7 @@ def confusions_ld2(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def confusions_all_examples(spark: SparkSession, d: str) -> DataFrame:
-    return A.confusions(spark, T.symbols(spark, d), 1, all_examples=True)
+    return A.confusions(spark, T.symbols(spark, d), 1, all_examples=True).select("kwc", F.array_join("examples", "#").alias("examples"))
 
 
 @query
@@ -264,6 +271,15 @@ def classify_acronyms(spark: SparkSession, d: str) -> DataFrame:
     return _classified(spark, d)["acro"]
 
 
+@query
+def classify_made_acronyms(spark: SparkSession, d: str) -> DataFrame:
+    """Of words in capitals behind an article, and of the same with a dot after each letter."""
+    w = table(spark, d, "read_words").where("wrd rlike '^[a-z]+$'")
+    made = F.explode(F.array(F.concat(F.lit("de_"), F.upper("wrd")), F.concat(F.array_join(X.chars(F.upper("wrd")), "."), F.lit("."))))
+    words = w.select(made.alias("word"), "frq").groupBy("word").agg(F.coalesce(F.sum("frq"), F.lit(0)).alias("freq"))
+    return C.classify_lexicon(words, letters=C.both_cases("".join(T.letters(spark, d))), acronyms=True)["acro"]
+
+
 @query
 def classify_with_background(spark: SparkSession, d: str) -> DataFrame:
     return _classified(spark, d, True)["clean"]
@@ -375,6 +391,34 @@ def pairs_ld2(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d, 2).records
 
 
+#: Letters that older spelling has for one another.
+HISTORICAL = ("sz", "iy", "ck", "uv", "fv")
+
+
+def _historical(spark: SparkSession, letters: dict[str, int]) -> DataFrame:
+    return spark.createDataFrame([(abs(letters[a] - letters[b]),) for a, b in HISTORICAL if a in letters and b in letters], "kwc bigint")
+
+
+def _marked(spark: SparkSession, d: str, no_hld: bool) -> DataFrame:
+    letters = T.letters(spark, d)
+    anagrams, keys = _keys(spark, d)
+    index = Scratch(spark, "pairs").save(G.index_by_difference(keys, T.symbols(spark, d), 1))
+    return P.find_pairs(index, anagrams, T.vocabulary(spark, d), artifrq=T.ARTIFRQ, distance=1, letters="".join(letters), historical=_historical(spark, letters),
+                        diacritic=A.diacritic_confusions(table(spark, d, "alphabet")), no_hld=no_hld).records
+
+
+@query
+def pairs_marked(spark: SparkSession, d: str) -> DataFrame:
+    """With historical and diacritic confusions, and candidates in the alphabet only."""
+    return _marked(spark, d, False)
+
+
+@query
+def pairs_historical_any_distance(spark: SparkSession, d: str) -> DataFrame:
+    """The same, historical confusions being excused from the distance."""
+    return _marked(spark, d, True)
+
+
 def _ngram_pairs(spark: SparkSession, d: str) -> P.Pairs:
     """Pairs over the words and bigrams of the documents' lines; words of 50 and more occurrences are lexical."""
     docs, letters = table(spark, d, "documents"), T.letters(spark, d)
@@ -529,6 +573,64 @@ def vectors_analogy(spark: SparkSession, d: str) -> DataFrame:
     return V.analogies(v, asked, 40).withColumn("similarity", F.round("similarity", 5))
 
 
+@query
+def vectors_pair_freqs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with the frequencies of both, taken from the word rows of the same number."""
+    v, w = _vectors(spark, d), table(spark, d, "read_words")
+    return V.pair_frequencies(v.select(F.col("word").alias("a"), (F.col("word") + 1).alias("b")), w.select(F.col("row_id").alias("word"), F.col("frq").alias("freq")))
+
+
+@query
+def vectors_neighbour_cosines(spark: SparkSession, d: str) -> DataFrame:
+    """Similarities for ranking of every fiftieth word and the hundred words after it."""
+    v = _vectors(spark, d)
+    records = v.where("word % 50 = 0").select(F.col("word").alias("variant"), F.explode(F.sequence(F.col("word") + 1, F.col("word") + 100)).alias("candidate"))
+    return R.neighbour_cosines(v, records).withColumn("cosine", F.round("cosine", 5))
+
+
+# File formats
+
+
+@query
+def wordfreq_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.wordfreq(wordfreq_clip(spark, d))
+
+
+@query
+def alphabet_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.alphabet(alphabet_build(spark, d))
+
+
+@query
+def confusion_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.confusions(confusions_ld1(spark, d))
+
+
+@query
+def index_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.index(index_chosen(spark, d))
+
+
+@query
+def pairs_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.pairs(pairs_ld1(spark, d))
+
+
+@query
+def ranked_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.ranked(rank_best(spark, d), clip=1)
+
+
+@query
+def chained_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.chained(chain(spark, d))
+
+
+@query
+def charconfreq_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.confusion_frequencies(confusion_frequencies(spark, d))
+
+
 # The pipeline
 
 
@@ -549,10 +651,11 @@ def pipeline_chained(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _from_documents(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """All steps at their defaults: words counted from the texts, classified beside the lexical words, an alphabet of their
-    own, distance 2."""
+    """All steps at their default distance 2: words counted from the texts, classified beside the lexical words, pairs
+    marked by historical and diacritic confusions, ranked, chained and cleaned."""
     back = T.vocabulary(spark, d).where(F.col("freq") >= T.ARTIFRQ)
-    return Pipeline(spark, artifrq=T.ARTIFRQ).run(texts=table(spark, d, "documents"), background=back)
+    return Pipeline(spark, artifrq=T.ARTIFRQ).run(texts=table(spark, d, "documents"), background=back, alphabet=table(spark, d, "alphabet"), historical=_historical(spark, T.letters(spark, d)),
+                                                  diacritic=A.diacritic_confusions(table(spark, d, "alphabet")))
 
 
 @query

@@ -251,3 +251,120 @@ SQL["stream_word_count"] = SQL["word_count"]
 SQL["index_met_in_the_middle"] = SQL["index_chosen"] = SQL["index_confusion_driven"]
 SQL["xml_text_nodes"] = rf"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{{FFFE}}\x{{FFFF}}\r]', '', 'g'), chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS node, text FROM l WHERE NOT regexp_matches(text, '\A{_BLANK}*\z')"""
+
+
+# Faulty raw lines: the fields before the first that breaks the quoting, and what follows them.
+def _reasons(table: str, raw: str, least: int, most: int, faults: str) -> str:
+    return rf"""SELECT '{table}' AS src, line_id, reason, CAST(at_byte AS INT) AS at_byte FROM ({raw}, part AS (SELECT *, regexp_extract(l, '\A(?:(?:"(?:[^"]|"")*"|[^"\t]*)\t)*') AS good FROM cut),
+        rest AS (SELECT *, substr(l, length(good) + 1) AS bad FROM part)
+        SELECT line_id, CASE WHEN NOT quoting THEN CASE WHEN bad NOT LIKE '"%' THEN 'quote inside an unquoted field' WHEN regexp_matches(bad, '\A"(?:[^"]|"")*\z') THEN 'unclosed quote' ELSE 'text after a closing quote' END
+                WHEN len(f) NOT BETWEEN {least} AND {most} THEN 'fields: ' || len(f) {faults} END AS reason,
+            CASE WHEN quoting THEN NULL WHEN bad NOT LIKE '"%' THEN strlen(good) + strlen(regexp_extract(bad, '\A[^"]*')) WHEN regexp_matches(bad, '\A"(?:[^"]|"")*\z') THEN strlen(good) ELSE strlen(good) + strlen(regexp_extract(bad, '\A"(?:[^"]|"")*"')) END AS at_byte FROM rest) WHERE reason IS NOT NULL"""
+
+
+def _number_fault(name: str, field: str) -> str:
+    return f"WHEN {field} IS NOT NULL AND NOT regexp_matches({field}, '^[0-9]+$') THEN '{name}: not a number' WHEN {field} IS NOT NULL AND NOT {_NUMBER.format(field)} THEN '{name}: number too large'"
+
+
+SQL["p4_reasons"] = _reasons("fillalphabet", _RAW_A, 3, 3, f"WHEN length(f[1]) <> 1 THEN 'ch: not one character' {_number_fault('freq', 'f[2]')} {_number_fault('hash', 'f[3]')}") + " UNION ALL " + _reasons(
+    "read_backgound", _RAW_B, 1, 2, rf"WHEN regexp_matches(f[1], '[\p{{Z}}\s\p{{Cc}}\x{{FFFD}}]') THEN 'word: blank, control or replacement character' {_number_fault('freq', 'f[2]')}")
+SQL["alphabet_reader"] = r"""WITH f AS (SELECT list_filter(string_split(replace(line, chr(13), ''), chr(9)), lambda x: x <> '') AS f FROM fillalphabet WHERE replace(line, chr(13), '') NOT LIKE '#%'),
+    n AS (SELECT f[1][1] AS ch, TRY_CAST(regexp_extract(f[2], '^[\s\x0b]*([0-9]+)', 1) AS BIGINT) AS freq, TRY_CAST(regexp_extract(f[3], '^[\s\x0b]*([0-9]+)', 1) AS BIGINT) AS hash FROM f WHERE len(f) = 3)
+    SELECT * FROM n WHERE freq > 100 OR freq = 0"""
+SQL["confusions_all_examples"] = f"WITH {_SYMBOLS}, {_SETS1}, {_DIFFS} SELECT kwc, array_to_string(list_sort(list_distinct(list(example))), '#') AS examples FROM diffs GROUP BY kwc"
+
+# Words of the documents, and n-grams of two words of a line.
+_UNIGRAMS = f"SELECT word, count(*) AS freq FROM (SELECT unnest({_tokens('text')}) AS word FROM documents) GROUP BY word"
+_BIGRAMS = f"SELECT word, count(*) AS freq FROM (SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])) AS word FROM (SELECT {_tokens('l')} AS t FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)) WHERE len(t) > 1) GROUP BY word"
+_GRAMS = f"grams AS ({_UNIGRAMS} UNION ALL {_BIGRAMS})"
+SQL["foci_of_parts"] = f"""WITH {_GRAMS}, {_LETTERS}, lexical AS (SELECT DISTINCT word FROM grams WHERE freq >= 50), weak AS (SELECT DISTINCT word FROM grams WHERE freq < 50 AND lower(word) NOT IN (SELECT word FROM lexical)),
+    held AS (SELECT DISTINCT g.word FROM (SELECT word, unnest(list_filter(string_split(word, '_'), lambda x: x <> '')) AS part FROM grams) g JOIN weak ON weak.word = g.part), {_hashes('held')}
+    SELECT DISTINCT hash, lower(word) AS word FROM hs"""
+# Words within one letter: the same once a letter is left out at the same place, or one is the other without a letter.
+_NEAR = f"""{_GRAMS}, {_LETTERS}, {_CONF1}, tame AS (SELECT DISTINCT translate(word, '~#', '__') AS word FROM grams WHERE word <> ''), {_hashes('tame')}, ana AS (SELECT hash, word FROM hs WHERE hash > 0), {_KEYS},
+    clean AS (SELECT word, max(freq) AS freq FROM grams WHERE length(word) BETWEEN 5 AND 35 GROUP BY word),
+    low AS (SELECT lower(word) AS low, CAST(sum(CASE WHEN freq >= 50 THEN freq - 50 ELSE freq END) + CASE WHEN max(freq) >= 50 THEN 50 ELSE 0 END AS BIGINT) AS n FROM clean GROUP BY 1),
+    w AS (SELECT a.word, lower(a.word) AS l, a.hash FROM ana a JOIN clean USING (word) WHERE a.hash IN (SELECT hash FROM keys)),
+    cut AS (SELECT word, l, hash, i, left(l, i - 1) || substr(l, i + 1) AS rest FROM (SELECT *, CAST(unnest(range(1, length(l) + 1)) AS INT) AS i FROM w)),
+    close AS (SELECT a.word AS w1, b.word AS w2, a.hash AS h1, b.hash AS h2 FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest WHERE a.hash < b.hash
+        UNION SELECT CASE WHEN a.hash < b.hash THEN a.word ELSE b.word END, CASE WHEN a.hash < b.hash THEN b.word ELSE a.word END, least(a.hash, b.hash), greatest(a.hash, b.hash) FROM w a JOIN cut b ON a.l = b.rest WHERE a.hash <> b.hash),
+    freqd AS (SELECT c.*, la.n AS l1, lb.n AS l2, la.n > lb.n OR (la.n = lb.n AND h1 < h2) AS flip FROM close c JOIN low la ON la.low = lower(w1) JOIN low lb ON lb.low = lower(w2) WHERE h2 - h1 IN (SELECT kwc FROM conf)),
+    o AS (SELECT CASE WHEN flip THEN w2 ELSE w1 END AS v, CASE WHEN flip THEN w1 ELSE w2 END AS c FROM freqd WHERE CASE WHEN flip THEN l2 ELSE l1 END < 50),
+    p AS (SELECT *, list_filter(string_split(v, '_'), lambda x: x <> '') AS pv, list_filter(string_split(c, '_'), lambda x: x <> '') AS pc FROM o),
+    d AS (SELECT v, c, list_filter(list_transform(range(1, len(pv) + 1), lambda i: CASE WHEN lower(pv[i]) <> lower(pc[i]) THEN [pv[i], pc[i]] END), lambda x: x IS NOT NULL) AS d FROM p WHERE len(pv) = len(pc) AND len(pv) > 1),
+    parts AS (SELECT v, c, d[1][1] AS part1, d[1][2] AS part2 FROM d WHERE len(d) = 1 AND lower(d[1][1]) NOT IN (SELECT low FROM low WHERE n >= 50))"""
+SQL["ngram_part_counts"] = f"WITH {_NEAR} SELECT part1, part2, count(*) AS n FROM parts WHERE length(part1) >= 5 GROUP BY ALL"
+SQL["ngram_ambiguous"] = f"WITH {_NEAR} SELECT part1 || '~' || part2 AS pair, array_to_string(list_sort(list_distinct(list(v || '~' || c))), '#') AS ngram_pairs FROM parts WHERE length(part1) < 5 GROUP BY part1, part2"
+SQL["ngram_short_pairs"] = f"""WITH {_NEAR}, few AS (SELECT part1 AS v, part2 AS c, lower(part1) AS a, lower(part2) AS b, count(*) AS n FROM parts WHERE length(part1) < 5 GROUP BY ALL)
+    SELECT v AS variant, coalesce(fv.freq, 0) AS variant_freq, coalesce(lv.n, 0) AS low_variant_freq, c AS candidate, coalesce(fc.freq, 0) AS candidate_freq, coalesce(lc.n, 0) AS low_candidate_freq, CAST(0 AS BIGINT) AS kwc, 1 AS ld,
+        CAST(greatest(length(a), length(b)) - 1 AS INT) AS cls, CAST(coalesce(lc.n, 0) >= 50 AS INT) AS canon, CAST(left(a, 1) = left(b, 1) AS INT) AS fl, CAST(length(a) > 1 AND length(b) > 1 AND right(a, 2) = right(b, 2) AS INT) AS ll, 0 AS khc, few.n AS ngram_points
+    FROM few LEFT JOIN clean fv ON fv.word = v LEFT JOIN clean fc ON fc.word = c LEFT JOIN low lv ON lv.low = a LEFT JOIN low lc ON lc.low = b"""
+
+# Pairs marked by historical and diacritic confusions, candidates in the alphabet; historical pairs at any distance if wanted.
+_HISTORICAL = "hist AS (SELECT DISTINCT abs(a.hash - b.hash) AS kwc FROM alphabet a, alphabet b WHERE a.ch || b.ch IN ('sz', 'iy', 'ck', 'uv', 'fv'))"
+_DIACRITIC = "dia AS (SELECT DISTINCT abs(a.hash - b.hash) AS kwc FROM alphabet a JOIN alphabet b ON b.ch = strip_accents(a.ch) WHERE a.ch <> b.ch)"
+
+
+def _marked(excused: bool) -> str:
+    plain = _pairs(_CONF1, 1)
+    more = " OR i.kwc IN (SELECT kwc FROM hist)" if excused else ""
+    out = plain.replace("WITH ", f"WITH {_HISTORICAL}, {_DIACRITIC}, ", 1).replace("<= 1),", f"<= 1{more}),", 1)
+    out = out.replace("WHERE vl < 100000000 )", f"WHERE (vl < 100000000 OR kwc IN (SELECT kwc FROM dia)) AND translate(lower(c), {_ABC}, '') = '')")
+    return out.replace("0 AS khc", "CAST(kwc IN (SELECT kwc FROM hist) AS INT) AS khc")
+
+
+SQL["pairs_marked"], SQL["pairs_historical_any_distance"] = _marked(False), _marked(True)
+
+# The pipeline over a ready vocabulary: pairs at distance 1 with candidates in the alphabet, the best of each variant.
+_PIPED = "rec AS (SELECT variant, candidate, variant_freq, candidate_freq, low_variant_freq, low_candidate_freq, kwc, ld, cls, canon, fl, ll, khc, ngram_points, 0.0 AS cosine FROM (" + _pairs(_CONF1, 1).replace("WHERE vl < 100000000 )", f"WHERE vl < 100000000 AND translate(lower(c), {_ABC}, '') = '')") + "))"
+SQL["pipeline_ranked"] = _best(1).replace(_REC, _PIPED)
+
+
+
+def _distance(a: str, b: str) -> str:
+    """Distance by characters: those of the two words take ASCII characters by their place among them."""
+    coded = lambda x: f"array_to_string(list_transform(string_split({x}, ''), lambda c: chr(CAST(32 + list_position(list_distinct(string_split({a} || {b}, '')), c) AS INT))), '')"
+    return f"CAST(levenshtein({coded(a)}, {coded(b)}) AS INT)"
+
+
+SQL["chain_cased"] = f"""WITH RECURSIVE {_RISING}, {_LETTERS}, named AS (SELECT *, list_filter(string_split(lower(candidate), ''), lambda x: NOT list_contains(string_split(lower(variant), ''), x)) AS more FROM firsts),
+    best AS (SELECT * FROM named WHERE NOT (kwc = 10510100501 AND length(candidate) > length(variant) AND len(more) > 0 AND more[1] NOT IN (SELECT ch FROM letters))),
+    path AS (SELECT variant, candidate AS head FROM best UNION ALL SELECT p.variant, f.candidate FROM path p JOIN best f ON f.variant = p.head), root AS (SELECT p.variant, p.head FROM path p WHERE p.head NOT IN (SELECT variant FROM best)),
+    {_hashes('voc')}
+    SELECT f.variant, f.variant_freq, r.head, v.freq AS head_freq, CASE WHEN r.head = f.candidate THEN f.kwc ELSE abs(a.hash - b.hash) END AS kwc, {_distance('r.head', 'f.variant')} AS ld
+    FROM best f JOIN root r USING (variant) JOIN voc v ON v.word = r.head JOIN hs a ON a.word = f.variant JOIN hs b ON b.word = r.head"""
+
+# Acronyms: capital words behind an article, and dotted ones of the same letters.
+_ACRO = r"""heads_ AS (SELECT key, sum(freq) AS freq FROM (SELECT unnest(heads) AS key, freq FROM named WHERE NOT dotted) GROUP BY key),
+    dots AS (SELECT CASE WHEN cl = 'PUNCT' THEN final ELSE word END AS key, sum(freq) AS freq FROM named WHERE dotted GROUP BY 1)
+    SELECT key AS word, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT * FROM heads_ UNION ALL SELECT * FROM dots WHERE regexp_replace(key, '\p{P}', '', 'g') IN (SELECT key FROM heads_)) GROUP BY key"""
+SQL["classify_acronyms"] = f"WITH {_CLASSIFIED}, {_ACRO}"
+_MADE = r"""list AS (SELECT word, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT unnest(['de_' || upper(wrd), array_to_string(string_split(upper(wrd), ''), '.') || '.']) AS word, coalesce(frq, 0) AS freq FROM read_words WHERE regexp_matches(wrd, '^[a-z]+$')) GROUP BY word)"""
+SQL["classify_made_acronyms"] = SQL["classify_acronyms"].replace(_LIST, _MADE)
+
+_BACK = _CLASSIFIED.replace(_LIST, f"{_VOC}, bg AS (SELECT word, freq FROM voc WHERE freq >= 100000000), known AS (SELECT DISTINCT lower(word) AS w FROM bg), {_LIST}").replace(
+    "CASE WHEN NOT edged THEN own WHEN bare", "CASE WHEN lower(word) IN (SELECT w FROM known) THEN 'CLEAN' WHEN NOT edged THEN own WHEN bare").replace(
+    "AS final,", "AS final, bool_and(lower(part) IN (SELECT w FROM known) OR (cls = 'PUNCT' AND lower(bare) IN (SELECT w FROM known))) AS lex,").replace(
+    "freq, orig FROM named WHERE cl = 'CLEAN' OR dotted OR", "freq, orig, lex AND (cl = 'CLEAN' OR (cl = 'PUNCT' AND NOT dotted)) AS lex FROM named WHERE cl = 'CLEAN' OR dotted OR").replace(
+    ", freq, orig FROM named", ", freq, orig, false FROM named")
+_FORE = f"{_BACK}, fore AS (SELECT key AS word, CAST(sum(freq) + CASE WHEN bool_or(lex) AND sum(freq) < 100000000 THEN 100000000 ELSE 0 END AS BIGINT) AS f FROM routed WHERE tag = 'clean' GROUP BY key), both_ AS (SELECT coalesce(fore.word, bg.word) AS word, f, coalesce(freq, 0) AS b FROM fore FULL JOIN bg ON fore.word = bg.word)"
+SQL["classify_foreground"] = f"WITH {_FORE} SELECT word, CASE WHEN f + b > 200000000 THEN f + b - 100000000 ELSE f + b END AS freq FROM both_ WHERE f IS NOT NULL"
+SQL["classify_with_background"] = f"WITH {_FORE} SELECT word, CASE WHEN f IS NULL THEN b WHEN f > 100000000 AND b >= 100000000 THEN f - 100000000 + b ELSE f + b END AS freq FROM both_"
+
+SQL["emphasis_runs_spaced"] = rf"""WITH t AS (SELECT row_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT row_id, {_tokens("array_to_string(string_split(wrd, ''), ' ')")} AS t FROM read_words)),
+    e AS (SELECT row_id, w, i, i - row_number() OVER (PARTITION BY row_id ORDER BY i) AS g FROM t WHERE regexp_matches(w, '^[\p{{L}}\p{{Nd}}]$'))
+    SELECT row_id, string_agg(w, '_' ORDER BY i) AS run FROM e GROUP BY row_id, g HAVING count(*) > 1"""
+SQL["vectors_pair_freqs"] = """WITH f AS (SELECT row_id, max(frq) AS freq FROM read_words GROUP BY row_id)
+    SELECT vec_id AS a, vec_id + 1 AS b, coalesce(x.freq, 0) AS freq_a, coalesce(y.freq, 0) AS freq_b FROM embeddings LEFT JOIN f x ON x.row_id = vec_id LEFT JOIN f y ON y.row_id = vec_id + 1"""
+SQL["vectors_neighbour_cosines"] = f"SELECT qid AS variant, word AS candidate, similarity AS cosine FROM ({SQL['vectors_nearest']}) WHERE word > qid AND word <= qid + 100"
+
+# Lines of the file formats.
+SQL["wordfreq_lines"] = f"SELECT word || chr(9) || freq AS value FROM ({SQL['wordfreq_clip']})"
+SQL["alphabet_lines"] = f"""SELECT CASE WHEN ch = '*' THEN '# *' || chr(9) || 'digits_and_punctuation' || chr(9) || hash WHEN ch = '$' THEN '# $' || chr(9) || 'unknown_characters' || chr(9) || hash
+    WHEN freq = 0 THEN ch || chr(9) || freq || chr(9) || chr(9) || hash ELSE ch || chr(9) || freq || chr(9) || hash END AS value FROM ({SQL['alphabet_build']})"""
+SQL["confusion_lines"] = f"SELECT kwc || '#' || example AS value FROM ({SQL['confusions_ld1']})"
+SQL["index_lines"] = f"SELECT kwc || '#' || string_agg(hash, ',' ORDER BY hash) AS value FROM ({SQL['index_chosen']}) GROUP BY kwc"
+SQL["pairs_lines"] = "SELECT " + " || '~' || ".join(("variant", "variant_freq", "low_variant_freq", "candidate", "candidate_freq", "low_candidate_freq", "kwc", "ld", "cls", "canon", "fl", "ll", "khc", "ngram_points")) + f" AS value FROM ({SQL['pairs_ld1']})"
+SQL["ranked_lines"] = f"SELECT variant || '#' || variant_freq || '#' || candidate || '#' || candidate_freq || '#' || kwc || '#' || ld || '#' || format('{{:.6g}}', CAST(score AS DOUBLE)) AS value FROM ({SQL['rank_best']})"
+SQL["chained_lines"] = f"SELECT variant || '#' || variant_freq || '#' || head || '#' || head_freq || '#' || kwc || '#' || ld || '#C' AS value FROM ({SQL['chain']})"
+SQL["charconfreq_lines"] = f"SELECT kwc || chr(9) || example || chr(9) || n AS value FROM ({SQL['confusion_frequencies']})"

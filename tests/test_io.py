@@ -176,3 +176,47 @@ def test_entry_points():
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 60
     assert callable(e.entry)
+
+
+def test_command_line(spark, tmp_path):
+    from lexloom.__main__ import main
+
+    at = lambda x: str(tmp_path / x)
+    (tmp_path / "text").write_text("huisdeur huisdeur huisdeur huisduer fietsen fietsen\nfietsen fietzen\n")
+    (tmp_path / "back").write_text("huisdeur\t1000\nfietsen\t1000\n")
+    main(["stats", "-o", at("a"), at("text")], spark)
+    main(["mergelex", "-o", at("b"), at("a.wordfreq"), at("back")], spark)
+    main(["lexstat", "-o", at("c"), "--LD", "1", at("b.merged")], spark)
+    main(["anahash", "-o", at("d"), "--alph", at("c.chars"), "--artifrq", "1000", at("b.merged")], spark)
+    main(["indexer", "-o", at("e"), "--hash", at("d.anagrams"), "--charconf", at("c.confusions"), "--foci", at("d.foci")], spark)
+    main(["ldcalc", "-o", at("f"), "--index", at("e.index"), "--hash", at("d.anagrams"), "--clean", at("b.merged"), "--alph", at("c.chars"), "--LD", "1", "--artifrq", "1000"], spark)
+    main(["rank", "-o", at("g"), "--alph", at("c.chars"), "--charconf", at("c.confusions"), "--clip", "1", at("f.ldcalc")], spark)
+    main(["chain", "-o", at("h"), "--alph", at("c.chars"), at("g.ranked")], spark)
+    got = {(r.variant, r["head"]) for r in formats.chained(formats.lines(spark, at("h.chained"))).collect()}
+    assert got == {("fietzen", "fietsen")}
+
+
+def test_streamed_vector_files(spark, tmp_path, monkeypatch):
+    rows = [(f"w{i}", [float(i), -1.5, 2.0]) for i in range(50)]
+    (tmp_path / "v.bin").write_bytes(b"50 3\n" + b"".join(w.encode() + b" " + struct.pack("<3f", *v) + b"\n" for w, v in rows))
+    monkeypatch.setattr(formats, "READ_BYTES", 7)
+    assert {n: v for n, v in formats._stored_vectors(f"file://{tmp_path}/v.bin")} == dict(rows)
+    assert {r.word: list(r.vec) for r in formats.word_vectors(spark, str(tmp_path / "v.bin")).collect()} == dict(rows)
+
+
+def test_xml_faults(spark):
+    docs = spark.createDataFrame([(1, "<a>een</a>"), (2, "<kapot>"), (3, None)], "id int, x string")
+    got = {r.id: (r.text, r.fault) for r in formats.xml_nodes(docs, "id", "x").collect()}
+    assert got[1] == ("een", None) and got[2][0] is None and got[2][1] and set(got) == {1, 2}
+
+
+def test_streamed_table(spark, tmp_path):
+    from lexloom.streaming.word_count import read_table, to_table
+
+    (tmp_path / "in").mkdir()
+    for t in ("de de kat", "de hond"):
+        spark.createDataFrame([(t,)], "text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = to_table(stream_word_count(spark.readStream.schema("text string").parquet(str(tmp_path / "in")), "text"), str(tmp_path / "out"), str(tmp_path / "state"))
+        q.processAllAvailable()
+        q.stop()
+    assert {r.word: r.freq for r in read_table(spark, str(tmp_path / "out")).collect()} == {"de": 3, "kat": 1, "hond": 1}

@@ -32,8 +32,10 @@ def distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("ld", [1, 2])
-def test_index_shapes_agree(spark, ld):
+@pytest.mark.parametrize("ld,sent", [(1, 10**6), (2, 10**6), (2, 10)])
+def test_index_shapes_agree(spark, ld, sent, monkeypatch):
+    monkeypatch.setattr(G, "SENT_KEYS", sent)
+    monkeypatch.setattr(G, "MEET_ROWS", 500)
     voc = vocabulary(spark)
     ana = G.anagram_table(voc, LETTERS)
     keys = G.keys_in_band(ana, 2, 35)
