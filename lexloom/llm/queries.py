@@ -190,6 +190,8 @@ def _p5_sql() -> str:
 
 
 SQL["p5_ranking"] = _p5_sql()
+SQL["p5_judged"] = f"""SELECT count(*) AS judged, CAST(sum(CASE WHEN position = 1 THEN 1 ELSE 0 END) AS BIGINT) AS first, round(avg(1.0 / position), 6) AS reciprocal_rank
+    FROM (SELECT DISTINCT variant, candidate FROM preferred_candidates) JOIN ({SQL['p5_ranking']}) USING (variant, candidate)"""
 
 SQL["p2_found"] = """
     WITH RECURSIVE edges AS (SELECT variant AS a, candidate AS b FROM rank_record WHERE variant IS NOT NULL AND candidate IS NOT NULL UNION SELECT candidate, variant FROM rank_record WHERE variant IS NOT NULL AND candidate IS NOT NULL),

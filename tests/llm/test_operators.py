@@ -439,7 +439,7 @@ def damage(text, how):
     return text.lower() if kind == "lower" else text
 
 
-@pytest.mark.parametrize("how", ["utf8:latin-1", "utf8:cp850", "utf8:mac-roman", "utf8:cp437", "utf8:latin-1,latin-1", "single:mac-roman>latin-1", "single:cp1252>cp1251", "single:cp850>latin-1"])
+@pytest.mark.parametrize("how", ["utf8:latin-1", "utf8:cp850", "utf8:mac-roman", "utf8:cp437", "utf8:latin-1,latin-1", "utf8:latin-1,latin-1,latin-1,latin-1,latin-1,latin-1", "single:mac-roman>latin-1", "single:cp1252>cp1251", "single:cp850>latin-1"])
 def test_restoration(spark, how):
     texts = clean_texts(60)
     docs = [(i, "nl", t) for i, t in enumerate(texts)]
@@ -451,6 +451,16 @@ def test_restoration(spark, how):
     assert got[105][1] == "" and all(got[200 + i][0] == texts[i] for i in range(5)) and got[300][0] == texts[7] + "\n" + texts[8]
 
 
+def test_all_usual_characters_have_a_code():
+    signs = {chr(0x4E00 + i) for i in range(5000)}
+    model = MB.Model({"zh": signs, "nl": set("éë")})
+    codes = [model.encode(ch, "zh") for ch in sorted(signs)]
+    assert len(set(codes)) == 5000 and {len(c) for c in codes} == {1, 2} and sum(len(c) == 1 for c in codes) == MB.ONE_BYTE
+    size = lambda ch: len(model.encode(ch, "nl"))
+    assert [size(ch) for ch in ("e", "é", "É", "«", "ж", "�", chr(0x85))] == [1, 1, 2, 2, 3, 4, 4]
+    assert len(model.encode("aÉ", "nl")) == 4 and len(model.encode("a«b", "nl")) == 5
+
+
 def test_no_texts(spark):
     assert MB.garbled_texts(table(spark, [], "id bigint, lang string, text string"), "text", "lang", "id").count() == 0
     assert MB.garbled_texts(table(spark, [(1, None, "é")], "id bigint, lang string, text string"), "text", "lang", "id").count() == 0
