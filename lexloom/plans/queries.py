@@ -631,6 +631,111 @@ def charconfreq_lines(spark: SparkSession, d: str) -> DataFrame:
     return sinks.confusion_frequencies(confusion_frequencies(spark, d))
 
 
+@query
+def quarantine_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.quarantine(lexclean_dirty(spark, d))
+
+
+@query
+def wordfreq_clean_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.wordfreq_clean(lexclean_clean(spark, d))
+
+
+@query
+def hash_list_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.hash_list(hash_list(spark, d))
+
+
+@query
+def confstats_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.confusion_stats(index_stats(spark, d))
+
+
+@query
+def punct_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.classified(_classified(spark, d))["punct"]
+
+
+@query
+def ambiguous_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.ambiguous(_ngram_pairs(spark, d).ambiguous)
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Raw lines of word lists, faulty ones included."""
+    return table(spark, d, "read_backgound").select(F.col("line").alias("value"))
+
+
+@query
+def foreground_reader(spark: SparkSession, d: str) -> DataFrame:
+    return formats.foreground(_lines(spark, d)).drop("pos")
+
+
+@query
+def background_reader(spark: SparkSession, d: str) -> DataFrame:
+    return formats.background(_lines(spark, d), T.ARTIFRQ).drop("pos")
+
+
+@query
+def lexicon_reader(spark: SparkSession, d: str) -> DataFrame:
+    return formats.lexicon(_lines(spark, d))
+
+
+@query
+def tagged_reader(spark: SparkSession, d: str) -> DataFrame:
+    return formats.tagged_lexicon(_lines(spark, d))
+
+
+@query
+def frequencies_reader(spark: SparkSession, d: str) -> DataFrame:
+    return formats.word_frequencies(_lines(spark, d)).drop("pos")
+
+
+@query
+def hemps_reader(spark: SparkSession, d: str) -> DataFrame:
+    return formats.hemps(_lines(spark, d))
+
+
+@query
+def foci_reader(spark: SparkSession, d: str) -> DataFrame:
+    return formats.foci(anagram_lines(spark, d))
+
+
+@query
+def anagrams_reader(spark: SparkSession, d: str) -> DataFrame:
+    return formats.anagrams(anagram_lines(spark, d))
+
+
+@query
+def confusions_reader(spark: SparkSession, d: str) -> DataFrame:
+    return formats.confusions(confusion_lines(spark, d))
+
+
+@query
+def flagged_reader(spark: SparkSession, d: str) -> DataFrame:
+    return formats.flagged_confusions(confusion_lines(spark, d))
+
+
+@query
+def index_reader(spark: SparkSession, d: str) -> DataFrame:
+    return formats.index(index_lines(spark, d))
+
+
+@query
+def pairs_reader(spark: SparkSession, d: str) -> DataFrame:
+    return formats.pairs(pairs_lines(spark, d))
+
+
+@query
+def ranked_reader(spark: SparkSession, d: str) -> DataFrame:
+    return formats.ranked(ranked_lines(spark, d))
+
+
+@query
+def chained_reader(spark: SparkSession, d: str) -> DataFrame:
+    return formats.chained(chained_lines(spark, d)).drop("pos")
+
+
 # The pipeline
 
 

@@ -368,3 +368,30 @@ SQL["pairs_lines"] = "SELECT " + " || '~' || ".join(("variant", "variant_freq",
 SQL["ranked_lines"] = f"SELECT variant || '#' || variant_freq || '#' || candidate || '#' || candidate_freq || '#' || kwc || '#' || ld || '#' || format('{{:.6g}}', CAST(score AS DOUBLE)) AS value FROM ({SQL['rank_best']})"
 SQL["chained_lines"] = f"SELECT variant || '#' || variant_freq || '#' || head || '#' || head_freq || '#' || kwc || '#' || ld || '#C' AS value FROM ({SQL['chain']})"
 SQL["charconfreq_lines"] = f"SELECT kwc || chr(9) || example || chr(9) || n AS value FROM ({SQL['confusion_frequencies']})"
+SQL["quarantine_lines"] = f"SELECT word AS value FROM ({SQL['lexclean_dirty']})"
+SQL["wordfreq_clean_lines"] = f"SELECT CASE WHEN freq = 0 THEN word ELSE word || chr(9) || freq END AS value FROM ({SQL['lexclean_clean']})"
+SQL["hash_list_lines"] = f"SELECT word || chr(9) || hash AS value FROM ({SQL['hash_list']})"
+SQL["confstats_lines"] = f"SELECT kwc || '#' || n AS value FROM ({SQL['index_stats']})"
+SQL["punct_lines"] = f"SELECT word || chr(9) || form AS value FROM ({SQL['classify_punct']})"
+SQL["ambiguous_lines"] = f"SELECT pair || '#' || ngram_pairs || '#' AS value FROM ({SQL['ngram_ambiguous']})"
+
+# Readers: over the raw lines of the tables, and over the lines that the sinks write.
+_FIELDS = "list_filter(string_split({0}, chr(9)), lambda x: x <> '')"
+_WORDS = "list_filter(string_split_regex({0}, '[\\s\\x0b]+'), lambda x: x <> '')"
+_INT = "TRY_CAST(regexp_extract({0}, '^[\\s\\x0b]*([0-9]+)', 1) AS BIGINT)"
+
+
+def _read(fields: str, columns: str, keep: str) -> str:
+    return f"SELECT * FROM (SELECT {columns} FROM (SELECT {fields} AS f FROM read_backgound WHERE line IS NOT NULL)) WHERE {keep}"
+
+
+SQL["foreground_reader"] = _read(_FIELDS.format("trim(line)"), f"f[1] AS word, {_INT.format('f[2]')} AS freq", "freq IS NOT NULL")
+SQL["background_reader"] = _read(_FIELDS.format("line"), f"f[1] AS word, coalesce({_INT.format('f[2]')}, 100000000) AS freq, len(f) AS n", "n IN (1, 2)").replace("SELECT * FROM (SELECT f[1]", "SELECT word, freq FROM (SELECT f[1]", 1)
+SQL["lexicon_reader"] = _read(_WORDS.format("line"), f"f[1] AS word, {_INT.format('f[2]')} AS freq", "freq IS NOT NULL")
+SQL["tagged_reader"] = _read(_FIELDS.format("line"), f"f[1] AS word, coalesce({_INT.format('f[2]')}, 0) AS freq, len(f) AS n", "n IN (1, 2, 4)").replace("SELECT * FROM (SELECT f[1]", "SELECT word, freq FROM (SELECT f[1]", 1)
+SQL["frequencies_reader"] = _read(_WORDS.format("line"), f"f[1] AS word, {_INT.format('f[2]')} AS freq, len(f) AS n", "freq IS NOT NULL AND n = 2").replace("SELECT * FROM (SELECT f[1]", "SELECT word, freq FROM (SELECT f[1]", 1)
+SQL["hemps_reader"] = "SELECT line AS word FROM read_backgound WHERE line <> '' AND line NOT LIKE '#%'"
+SQL["foci_reader"] = f"SELECT DISTINCT hash FROM ({SQL['anagram_table']})"
+SQL["anagrams_reader"], SQL["confusions_reader"], SQL["flagged_reader"], SQL["index_reader"], SQL["pairs_reader"] = SQL["anagram_table"], SQL["confusions_ld1"], SQL["confusions_ld1"], SQL["index_chosen"], SQL["pairs_ld1"]
+SQL["ranked_reader"] = f"SELECT variant, variant_freq, candidate, candidate_freq, kwc, ld, CAST(format('{{:.6g}}', CAST(score AS DOUBLE)) AS DOUBLE) AS score FROM ({SQL['rank_best']})"
+SQL["chained_reader"] = f"SELECT variant, variant_freq, head, head_freq, kwc, ld, 'C' AS flag FROM ({SQL['chain']})"
