@@ -17,13 +17,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.lookup import hot_keys, lookup  # noqa: F401
+from ..operators.lookup import hot_keys, lookup as any_lookup  # noqa: F401
 from ..session import Scratch
 
 #: Pointer doubling and rounds are logarithmic; beyond this something is broken.
 MAX_STEPS = 64
 
 
+def lookup(left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataFrame:
+    """A lookup in a table of records, which is joined by merging: it grows with the data, so the planner is not to broadcast
+    it while it happens to be small."""
+    return any_lookup(left, key, right.hint("merge"), right_key)
+
+
 def connected_components(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """(group_id, member): one row for each distinct record in `pairs`; group_id is the group's smallest member.
 
