@@ -15,8 +15,9 @@ import html
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, lru_cache
+from heapq import heappop, heappush
 
 import pandas as pd
 import zstandard
@@ -33,14 +34,10 @@ DICT_BYTES, USUAL = 64 * 1024, 0.05
 #: Bytes that it costs to name a decoding among some two hundred, to say that a text is garbled at all, and to describe a
 #: line in another language than its text's.
 NAME, GARBLED, TONGUE_COST = 1, 1, 1
-#: Texts that are decoded further at each length of a chain.
-FRONT = 4
-#: Share of the best saving that a decoding must have before its result is packed.
-PART = 0.75
 #: Usual characters of a language that take one byte, and the level of compression.
 ONE_BYTE, LEVEL = 96, 9
-#: Decisions remembered by a task.
-SEEN = 20_000
+#: Decisions and words remembered by a task, and the longest word remembered.
+SEEN, WORDS, WORD_CHARS = 20_000, 100_000, 64
 
 # ISO 639 codes that name no language.
 NO_LANGUAGE = ("und", "mul", "mis", "zxx", "")
@@ -50,7 +47,7 @@ WRITTEN_IN = ("cp1252", "mac-roman", "cp437", "cp850", "cp1250", "iso8859-2", "c
 
 # One valid multi-byte sequence of UTF-8, its bytes lifted to characters.
 _utf8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
-_odd_word = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*")
+_word = re.compile(r"[^\x00-\x20]+")
 # Marks that join words.
 JOINING = "’–—…·\xad\u200b\u200c\u200d\u2060"
 _gap = re.compile("[\x00-\x20]+")
@@ -96,6 +93,14 @@ def misread(text: str, read_as: str = "cp1252") -> str:
     return "".join([b if b < "\x80" else back.get(b, b) for b in text.encode("utf-8").decode("latin-1")])
 
 
+class Lifted(dict):
+    """Character -> the character of its byte; ASCII is its own, and what no byte was read as is none."""
+
+    def __missing__(self, n: int) -> str:
+        self[n] = out = chr(n) if n < 0x80 else "Ā"
+        return out
+
+
 class Chain:
     """One decoding: UTF-8 read in a single-byte encoding (`written_in` None), or one such encoding read in another."""
 
@@ -108,19 +113,20 @@ class Chain:
             self.table = lift(read_as, lowered)
             self.leads = frozenset(chr(c) for c, b in self.table.items() if "\xc2" <= b <= "\xf4")
         self.multi = written_in is None
+        self.lifted = Lifted({c: b for c, b in self.table.items() if c >= 0x80}) if self.multi else None
 
     @classmethod
     def part(cls, chain: Chain, only: set[str]) -> Chain:
         """A single-byte chain applied to some characters only."""
         out = cls.__new__(cls)
-        out.name, out.multi, out.leads = chain.name, False, chain.leads & only
+        out.name, out.multi, out.lifted, out.leads = chain.name, False, None, chain.leads & only
         out.table = {c: to for c, to in chain.table.items() if chr(c) in only}
         return out
 
     def apply(self, text: str) -> str:
         if not self.multi:
             return text.translate(self.table)
-        lifted = "".join([self.table.get(ord(ch), "Ā") if ch >= "\x80" else ch for ch in text])  # same length as text
+        lifted = text.translate(self.lifted)  # same length as text
         parts, at = [], 0
         for m in _utf8.finditer(lifted):
             try:
@@ -188,12 +194,7 @@ class Model:
         return self.__dict__ | {"_packers": {}, "_seen": {}}
 
     def encode(self, text: str, lang: str) -> bytes:
-        if text.isascii():
-            return text.encode("latin-1")
-        if spots := odd_places(text):
-            cuts = [0, *sorted(spots), len(text)]
-            text = "\x01".join([text[i:j] for i, j in zip(cuts, cuts[1:], strict=False)])
-        return text.translate(self.codes[lang]).encode("latin-1")
+        return text.encode("latin-1") if text.isascii() else marked(text).translate(self.codes[lang]).encode("latin-1")
 
     def cached(self, before: str, tongues: list[str], odd: set[str], used: list[str]) -> tuple[Chain, ...]:
         """`_cheapest`, remembered for texts that come again, as menus and notices do."""
@@ -205,11 +206,14 @@ class Model:
         return self._seen[key]
 
     def length(self, text: str, lang: str) -> int:
+        return self.packed(self.encode(text, lang), lang)
+
+    def packed(self, code: bytes, lang: str) -> int:
         if lang not in self._packers:
             d = zstandard.ZstdCompressionDict(self.dicts[lang])
             d.precompute_compress(level=LEVEL)
             self._packers[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
-        return len(self._packers[lang].compress(self.encode(text, lang)))
+        return len(self._packers[lang].compress(code))
 
     def language(self, text: str, hint: str | None) -> str:
         """The language whose dictionary packs the text best; the labelled one at a tie."""
@@ -250,7 +254,25 @@ _odd = re.compile("(?<=[abc])[BCL]|(?<=[abclABCL])(?:m(?=[abclABCL])|y)|(?<=[abA
 def odd_places(text: str) -> set[int]:
     """Where a capital beyond ASCII follows a small letter, a mark stands between two letters, a symbol follows a letter, a
     letter beyond ASCII is beside a digit, or the script changes inside a word."""
-    return {m.start() for m in _odd.finditer(text.translate(_kinds))}
+    return {m.start() + at for m in _word.finditer(text) if not m.group().isascii() for at in _odd_spots(m.group())}
+
+
+def _odd_spots(word: str) -> tuple[int, ...]:
+    """The odd places of one word. No place depends on other words."""
+    return _spots(word) if len(word) <= WORD_CHARS else _spots.__wrapped__(word)
+
+
+@lru_cache(maxsize=WORDS)
+def _spots(word: str) -> tuple[int, ...]:
+    return tuple([m.start() for m in _odd.finditer(word.translate(_kinds))])
+
+
+def marked(text: str) -> str:
+    """The text with a byte before each odd place."""
+    if not (spots := odd_places(text)):
+        return text
+    cuts = [0, *sorted(spots), len(text)]
+    return "\x01".join([text[i:j] for i, j in zip(cuts, cuts[1:], strict=False)])
 
 
 def restore(text: str, hint: str | None, model: Model) -> tuple[bool, str, str, int]:
@@ -299,7 +321,7 @@ def _gain(before: str, after: str, lang: str, model: Model) -> int:
 def _odd_words(text: str, before: str | None = None) -> str:
     """The words of a text with characters beyond ASCII, or of the decoded text in whose place such words stood before."""
     if before is None:
-        return " ".join(dict.fromkeys(_odd_word.findall(text)))
+        return " ".join(dict.fromkeys(w for w in _word.findall(text) if not w.isascii()))
     old, new = _gap.split(before), _gap.split(text)
     if len(old) != len(new):
         return text
@@ -327,51 +349,79 @@ def _best(text: str, tongues: list[str], model: Model, used: list[str]) -> tuple
     return model.cached(_odd_words(text), tongues, odd, used)  # rightly decoded words, too: a chain must not spoil them
 
 
+class Memo(dict):
+    """What a function gives for each word it was asked for."""
+
+    def __init__(self, f: Callable):
+        self.f = f
+
+    def __missing__(self, word: str):
+        self[word] = out = self.f(word)
+        return out
+
+
 def _cheapest(before: str, tongues: list[str], odd: set[str], model: Model, used: list[str]) -> tuple[Chain, ...]:
-    """Every decoding that explains a suspect character is priced, as a whole and for the suspect characters only. Those of
-    UTF-8 are carried on by further ones as long as that changes the text, the FRONT shortest of each length. Decodings between
-    single-byte encodings are packed if they save something in the code itself, and PART of what the best decoding saves."""
-
-    def described(x: str) -> int:
-        """The length in the text's language, or in the other one that has the shortest code for the line."""
-        own = model.length(x, tongues[0])
-        if len(tongues) == 1 or x.isascii():
-            return own
-        held = Counter(ord(ch) for ch in x if ch >= "\x80")
-        other = min(tongues[1:], key=lambda k: sum(n * len(model.codes[k][c]) for c, n in held.items()))
-        return min(own, model.length(x, other) + TONGUE_COST)
-
-    tried: dict[str, tuple[Chain, ...]] = {before: ()}
-    front = [before]
-    prices = {before: described(before)}
-    while front:
-        new: dict[str, tuple[Chain, ...]] = {}
-        for text in front:
-            marks = {ch for ch in text if ch >= "\x80"}
-            for chain in _multi():
-                if not marks.isdisjoint(chain.leads) and (after := chain.apply(text)) not in tried:
-                    new.setdefault(after, (*tried[text], chain))
-        tried |= new
-        prices |= {x: described(x) + cost(c, used) for x, c in new.items()}
-        front = sorted(new, key=lambda x: (prices[x], x))[:FRONT]
-    counts = Counter(ch for ch in before if ch >= "\x80")
-    size = {k: {ch: len(model.codes[k][ord(ch)]) for ch in counts} for k in tongues}
-    now = min(sum(n * size[k][ch] for ch, n in counts.items()) for k in tongues) + len(odd_places(before))
-    single: dict[tuple, tuple[int, Chain]] = {}
-    for chain in _single():
-        if not odd.isdisjoint(chain.leads):
-            for c in (chain, Chain.part(chain, odd)):
-                effect = tuple([c.table.get(ord(ch)) for ch in counts])  # what a chain makes of these characters is all it does
-                if effect not in single:
-                    to = [(ch, n, t) for (ch, n), t in zip(counts.items(), effect, strict=True)]
-                    single[effect] = (now - min(sum(n * (len(model.codes[k][ord(t)]) if t else size[k][ch]) for ch, n, t in to) for k in tongues), c)
-    saved = [n for n, _ in single.values()] + [now - min(sum(len(model.codes[k][ord(ch)]) for ch in x if ch >= "\x80") for k in tongues) for x in tried if x != before]
-    least = max(1, PART * max(saved, default=0))
-    for n, c in single.values():
-        if n >= least and (after := c.apply(before)) not in tried:
-            tried[after] = (c,)
-            prices[after] = described(after) + cost((c,), used)
-    return tried[min(prices, key=lambda x: (prices[x], len(tried[x]), x))]
+    """Every decoding that explains a suspect character is packed in every tongue, as a whole and for the suspect characters
+    only. Those of UTF-8 are carried on by all further ones as long as that changes a word; every text they lead to is packed
+    once, at the cost of the cheapest chain to it. No decoding reaches over a blank, so words are decoded and coded once."""
+    words = before.split(" ")
+    place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    order = [place[w] for w in words]
+    start = tuple(place)
+    codes = [(k, Memo(lambda w, k=k: model.encode(w, k)).__getitem__) for k in tongues]
+
+    def described(state: tuple[str, ...]) -> int:
+        """The length in the language that packs the words best."""
+        least = 1 << 60
+        for k, code in codes:
+            own = list(map(code, state))
+            least = min(least, model.packed(b" ".join([own[i] for i in order]), k) + (TONGUE_COST if k != tongues[0] else 0))
+        return least
+
+    best = (described(start), 0, start, ())
+    chains = [(c, 0 if c.name in used else 1 << i, Memo(c.apply).__getitem__) for i, c in enumerate(_multi())]
+    # Each step shortens the words, so the longest text that waits can't be reached again. Chains to a text are kept by the new
+    # names they use; one whose names all stand in another costs no more than that, however it goes on.
+    waiting: dict[tuple[str, ...], dict[int, tuple[Chain, ...]]] = {start: {0: ()}}
+    heap = [(-sum(map(len, start)), start)]
+    while heap:
+        state = heappop(heap)[1]
+        ways = waiting.pop(state)
+        if state != start:
+            chain = min(ways.values(), key=lambda c: (cost(c, used), len(c)))
+            best = min(best, (described(state) + cost(chain, used), len(chain), state, chain), key=lambda x: x[:3])
+        for c, name, apply in chains:
+            after = tuple(map(apply, state))
+            if after == state:
+                continue
+            if after not in waiting:
+                waiting[after] = {}
+                heappush(heap, (-sum(map(len, after)), after))
+            there = waiting[after]
+            for names, chain in ways.items():
+                more = names | name
+                if more in there:
+                    there[more] = min(there[more], (*chain, c), key=len)
+                elif not any(x & more == x for x in there):
+                    for x in [x for x in there if x & more == more]:
+                        del there[x]
+                    there[more] = (*chain, c)
+    # What a chain of single bytes makes of the characters held is all it does.
+    held = sorted({ch for ch in before if ch >= "\x80"})
+    effects: dict[tuple, Chain] = {}
+    for c in _single():
+        if not odd.isdisjoint(c.leads):
+            whole = tuple([c.table.get(ord(ch)) for ch in held])
+            for effect in (whole, tuple([to if ch in odd else None for ch, to in zip(held, whole, strict=True)])):
+                if effect not in effects or c.name in used:
+                    effects[effect] = c
+    for effect, c in effects.items():
+        table = {ord(ch): to for ch, to in zip(held, effect, strict=True) if to}
+        after = tuple([w.translate(table) for w in start])
+        price = described(after) + cost((c,), used)
+        if (price, 1, after) < best[:3]:
+            best = (price, 1, after, (Chain.part(c, {chr(n) for n in table}),))
+    return best[3]
 
 
 def fit(docs: DataFrame, text: str, lang: str, doc_id: str) -> Model:

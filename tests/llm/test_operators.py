@@ -461,6 +461,32 @@ def test_all_usual_characters_have_a_code():
     assert len(model.encode("aÉ", "nl")) == 4 and len(model.encode("a«b", "nl")) == 5
 
 
+LINES = {
+    "nl": "Een ieder heeft recht op leven, vrijheid en onschendbaarheid van zijn persoon, en geen reünie, scène, café of coördinatie verandert dat in één dag. ",
+    "cs": "Všichni lidé rodí se svobodní a sobě rovní co do důstojnosti a práv. Jsou nadáni rozumem a svědomím a mají spolu jednat v duchu bratrství. Žádný člověk. ",
+    "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et où ça, à Noël, naïveté française. ",
+}
+
+
+def all_chains(text, odd):
+    """Every chain by brute force, without any order or bound."""
+    found, front = {(): text}, [((), text)]
+    while front:
+        front = [((*chain, c), after) for chain, x in front for c in MB._multi() if (after := c.apply(x)) != x]
+        found |= dict(front)
+    return found | {(c,): c.apply(text) for whole in MB._single() if not odd.isdisjoint(whole.leads) for c in (whole, MB.Chain.part(whole, odd))}
+
+
+@pytest.mark.parametrize("line", ["lidé dùstojnosti dùstojnosti", "dĂąstojnosti", "oÔ\x94\x9cÔ\x95ú Ô\x94\x9c┬║a,", "majÄ\x82Â\xad bratrstvÄ\x82Â\xad. rovnÄ\x82Â\xad"])
+def test_no_decoding_is_left_out(line):
+    model = MB.Model({k: {ch for ch in t if ch > "\x7f"} for k, t in LINES.items()})
+    model.dicts = {k: MB._train([model.encode(t, k)]) for k, t in LINES.items()}
+    price = lambda x, chain: min(model.length(x, k) + (k != "nl") * MB.TONGUE_COST for k in LINES) + MB.cost(chain, [])
+    odd = model.suspects(line, "nl")
+    chain = MB._cheapest(line, list(LINES), odd, model, [])
+    assert price(MB.decoded(line, chain), chain) == min(price(x, c) for c, x in all_chains(line, odd).items())
+
+
 def test_no_texts(spark):
     assert MB.garbled_texts(table(spark, [], "id bigint, lang string, text string"), "text", "lang", "id").count() == 0
     assert MB.garbled_texts(table(spark, [(1, None, "é")], "id bigint, lang string, text string"), "text", "lang", "id").count() == 0
