@@ -319,13 +319,14 @@ def _gain(before: str, after: str, lang: str, model: Model) -> int:
 
 
 def _odd_words(text: str, before: str | None = None) -> str:
-    """The words of a text with characters beyond ASCII, or of the decoded text in whose place such words stood before."""
+    """The words of a text with characters beyond ASCII, or of the decoded text in whose place such words stood before; each as
+    often as it stands there."""
     if before is None:
-        return " ".join(dict.fromkeys(w for w in _word.findall(text) if not w.isascii()))
+        return " ".join([w for w in _word.findall(text) if not w.isascii()])
     old, new = _gap.split(before), _gap.split(text)
     if len(old) != len(new):
         return text
-    return " ".join(dict.fromkeys(b for a, b in zip(old, new, strict=True) if not a.isascii()))
+    return " ".join([b for a, b in zip(old, new, strict=True) if not a.isascii()])
 
 
 def decoded(text: str, chain: tuple[Chain, ...]) -> str:

@@ -487,6 +487,15 @@ def test_no_decoding_is_left_out(line):
     assert price(MB.decoded(line, chain), chain) == min(price(x, c) for c, x in all_chains(line, odd).items())
 
 
+def test_a_garbled_word_counts_as_often_as_it_stands():
+    right = "You are here: Start » Archive » Items\nPlain words follow the menu."
+    texts = {"en": right + " Nothing else stands beyond ASCII here, and no one reads the rest of these lines.", "pt": "Não há Ângulo nem Âncora na câmara. "}
+    model = MB.Model({"en": {"»"}, "pt": set("ãáâÂ")})
+    model.dicts = {k: MB._train([model.encode(x, k) for x in t.split("\n")]) for k, t in texts.items()}
+    assert MB.restore(right, "en", model)[0] is False
+    assert MB.restore(MB.misread(right), "en", model)[:2] == (True, right)
+
+
 def test_no_texts(spark):
     assert MB.garbled_texts(table(spark, [], "id bigint, lang string, text string"), "text", "lang", "id").count() == 0
     assert MB.garbled_texts(table(spark, [(1, None, "é")], "id bigint, lang string, text string"), "text", "lang", "id").count() == 0
