@@ -188,7 +188,7 @@ class Model:
             self.codes[k] = Codes({ord(ch): code for ch, code in (elsewhere | capitals | own).items()})
         self.dicts: dict[str, bytes] = {}
         self._packers: dict[str, zstandard.ZstdCompressor] = {}
-        self._seen: dict[tuple, tuple[Chain, ...]] = {}
+        self._seen: dict[tuple, tuple[Chain, ...] | bool] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_packers": {}, "_seen": {}}
@@ -198,11 +198,17 @@ class Model:
 
     def cached(self, before: str, tongues: list[str], odd: set[str], used: list[str]) -> tuple[Chain, ...]:
         """`_cheapest`, remembered for texts that come again, as menus and notices do."""
-        key = (before, len(tongues), tongues[0], frozenset(odd), frozenset(used))
+        return self._remembered((before, len(tongues), tongues[0], frozenset(odd), frozenset(used)), lambda: _cheapest(before, tongues, odd, self, used))
+
+    def shortens(self, before: str, tongues: list[str], odd: set[str]) -> bool:
+        """`_shortens`, remembered."""
+        return self._remembered((before, len(tongues), tongues[0], frozenset(odd)), lambda: _shortens(before, tongues, odd, self))
+
+    def _remembered(self, key: tuple, f: Callable):
         if key not in self._seen:
             if len(self._seen) >= SEEN:
                 self._seen.clear()
-            self._seen[key] = _cheapest(before, tongues, odd, self, used)
+            self._seen[key] = f()
         return self._seen[key]
 
     def length(self, text: str, lang: str) -> int:
@@ -275,10 +281,16 @@ def marked(text: str) -> str:
     return "\x01".join([text[i:j] for i, j in zip(cuts, cuts[1:], strict=False)])
 
 
-def restore(text: str, hint: str | None, model: Model) -> tuple[bool, str, str, int]:
+def garbled(text: str, hint: str | None, model: Model) -> bool:
+    """Whether `restore` finds the text garbled. The chain of least length isn't asked for, so the search ends with the first
+    line that any chain shortens."""
+    return restore(text, hint, model, whole=False)[0]
+
+
+def restore(text: str, hint: str | None, model: Model, whole: bool = True) -> tuple[bool, str, str, int]:
     """(garbled, text with what can be restored, the chains applied, characters lost). Text that no chain shortens stays as
     it is. What nothing restores is priced by a chain of its own, which puts an unknown letter of one byte in the place of
-    replacement characters and C1 controls."""
+    replacement characters and C1 controls. Not `whole`: only the first counts."""
     plain = html.unescape(text) if "&" in text and _entity.search(text) else text
     if plain.isascii():
         return False, text, "", 0
@@ -289,6 +301,10 @@ def restore(text: str, hint: str | None, model: Model) -> tuple[bool, str, str,
     lines = plain.split("\n")
     if model.suspects(plain, lang):
         others = sorted(set(model.dicts) - {lang})  # a line may be a quotation
+        # A line that a chain shortens doesn't end as it is, whatever is done before: where it stands so again, the chain, which
+        # names used before make no dearer, still shortens it.
+        if not whole and any(_shorter(line, [lang, *others], model) for line in sorted(set(lines), key=lambda x: (-len(odd_places(x)), x))):
+            return True, text, "", 0
         # First the chains that explain the document as a whole, used where a line gains by them; then what lines still
         # need. Every step shortens the description, so the steps end.
         while True:
@@ -301,7 +317,7 @@ def restore(text: str, hint: str | None, model: Model) -> tuple[bool, str, str,
                 lines[i] = decoded(lines[i], chain) if n > 0 else lines[i]
             used += [c.name for c in chain]
         for i, line in enumerate(lines):
-            while not line.isascii() and (chain := _best(line, [lang, *others], model, used)):
+            while (whole or used) and not line.isascii() and (chain := _best(line, [lang, *others], model, used)):
                 line = lines[i] = decoded(line, chain)
                 used += [c.name for c in chain]
     restored, lost = "\n".join(lines), 0
@@ -350,6 +366,12 @@ def _best(text: str, tongues: list[str], model: Model, used: list[str]) -> tuple
     return model.cached(_odd_words(text), tongues, odd, used)  # rightly decoded words, too: a chain must not spoil them
 
 
+def _shorter(line: str, tongues: list[str], model: Model) -> bool:
+    """Whether `_best` has a chain for a line of a text of which nothing was decoded yet."""
+    odd = model.suspects(line, tongues[0])
+    return bool(odd) and model.shortens(_odd_words(line), tongues, odd)
+
+
 class Memo(dict):
     """What a function gives for each word it was asked for."""
 
@@ -361,23 +383,35 @@ class Memo(dict):
         return out
 
 
+class Words:
+    """The words of a line and their lengths in the tongues. No decoding reaches over a blank, so words are decoded and coded
+    once."""
+
+    def __init__(self, before: str, tongues: list[str], model: Model):
+        words = before.split(" ")
+        place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        self.order = [place[w] for w in words]
+        self.start = tuple(place)
+        self.model = model
+        self.codes = [(k, Memo(lambda w, k=k: model.encode(w, k)).__getitem__, TONGUE_COST if k != tongues[0] else 0) for k in tongues]
+
+    def lengths(self, state: tuple[str, ...]) -> Iterator[int]:
+        """The length in each tongue."""
+        for k, code, more in self.codes:
+            own = list(map(code, state))
+            yield self.model.packed(b" ".join([own[i] for i in self.order]), k) + more
+
+
 def _cheapest(before: str, tongues: list[str], odd: set[str], model: Model, used: list[str]) -> tuple[Chain, ...]:
     """Every decoding that explains a suspect character is packed in every tongue, as a whole and for the suspect characters
     only. Those of UTF-8 are carried on by all further ones as long as that changes a word; every text they lead to is packed
-    once, at the cost of the cheapest chain to it. No decoding reaches over a blank, so words are decoded and coded once."""
-    words = before.split(" ")
-    place = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    order = [place[w] for w in words]
-    start = tuple(place)
-    codes = [(k, Memo(lambda w, k=k: model.encode(w, k)).__getitem__) for k in tongues]
+    once, at the cost of the cheapest chain to it."""
+    line = Words(before, tongues, model)
+    start = line.start
 
     def described(state: tuple[str, ...]) -> int:
         """The length in the language that packs the words best."""
-        least = 1 << 60
-        for k, code in codes:
-            own = list(map(code, state))
-            least = min(least, model.packed(b" ".join([own[i] for i in order]), k) + (TONGUE_COST if k != tongues[0] else 0))
-        return least
+        return min(line.lengths(state))
 
     best = (described(start), 0, start, ())
     chains = [(c, 0 if c.name in used else 1 << i, Memo(c.apply).__getitem__) for i, c in enumerate(_multi())]
@@ -407,7 +441,16 @@ def _cheapest(before: str, tongues: list[str], odd: set[str], model: Model, used
                     for x in [x for x in there if x & more == more]:
                         del there[x]
                     there[more] = (*chain, c)
-    # What a chain of single bytes makes of the characters held is all it does.
+    for table, c in _swaps(before, odd, used):
+        after = tuple([w.translate(table) for w in start])
+        price = described(after) + cost((c,), used)
+        if (price, 1, after) < best[:3]:
+            best = (price, 1, after, (Chain.part(c, {chr(n) for n in table}),))
+    return best[3]
+
+
+def _swaps(before: str, odd: set[str], used: list[str]) -> Iterator[tuple[dict[int, str], Chain]]:
+    """What chains of single bytes make of the characters held, which is all they do."""
     held = sorted({ch for ch in before if ch >= "\x80"})
     effects: dict[tuple, Chain] = {}
     for c in _single():
@@ -417,12 +460,44 @@ def _cheapest(before: str, tongues: list[str], odd: set[str], model: Model, used
                 if effect not in effects or c.name in used:
                     effects[effect] = c
     for effect, c in effects.items():
-        table = {ord(ch): to for ch, to in zip(held, effect, strict=True) if to}
-        after = tuple([w.translate(table) for w in start])
-        price = described(after) + cost((c,), used)
-        if (price, 1, after) < best[:3]:
-            best = (price, 1, after, (Chain.part(c, {chr(n) for n in table}),))
-    return best[3]
+        yield {ord(ch): to for ch, to in zip(held, effect, strict=True) if to}, c
+
+
+def _shortens(before: str, tongues: list[str], odd: set[str], model: Model) -> bool:
+    """Whether `_cheapest` has a chain, where none was used before: the first chain found that shortens the line will do, and if
+    there is none, all were tried."""
+    line = Words(before, tongues, model)
+    now = min(line.lengths(line.start))
+    chains = [(1 << i, Memo(c.apply).__getitem__) for i, c in enumerate(_multi())]
+    # As in `_cheapest`, but a text is packed as soon as it is reached.
+    shortest: dict[tuple[str, ...], int] = {}
+    waiting: dict[tuple[str, ...], set[int]] = {line.start: {0}}
+    heap = [(-sum(map(len, line.start)), line.start)]
+    while heap:
+        state = heappop(heap)[1]
+        ways = waiting.pop(state)
+        shortest.pop(state, None)
+        for name, apply in chains:
+            after = tuple(map(apply, state))
+            if after == state:
+                continue
+            if after not in waiting:
+                waiting[after] = set()
+                heappush(heap, (-sum(map(len, after)), after))
+                shortest[after] = min(line.lengths(after))
+            there = waiting[after]
+            for names in ways:
+                more = names | name
+                if not any(x & more == x for x in there):
+                    there -= {x for x in there if x & more == more}
+                    there.add(more)
+                    if shortest[after] + NAME * more.bit_count() + GARBLED < now:
+                        return True
+    for table, _ in _swaps(before, odd, []):
+        after = tuple([w.translate(table) for w in line.start])
+        if any(n + NAME + GARBLED < now for n in line.lengths(after)):
+            return True
+    return False
 
 
 def fit(docs: DataFrame, text: str, lang: str, doc_id: str) -> Model:
@@ -487,19 +562,29 @@ def garbled_texts(docs: DataFrame, text: str, lang: str, doc_id: str, model: Mod
     Null and empty texts are never garbled. Whole texts are read, whatever their length. An empty table gives no rows.
     Null or unknown languages are found from the text. Further columns are not read.
     """
+    return _judged(docs, text, lang, doc_id, model, restore, {"restored": "string", "chains": "string", "lost": "int"})
+
+
+def garbled_ids(docs: DataFrame, text: str, lang: str, doc_id: str, model: Model | None = None) -> DataFrame:
+    """(doc_id) of the rows of `garbled_texts`, without restoring the texts."""
+    return _judged(docs, text, lang, doc_id, model, lambda *x: (garbled(*x),), {})
+
+
+def _judged(docs: DataFrame, text: str, lang: str, doc_id: str, model: Model | None, judge: Callable, more: dict[str, str]) -> DataFrame:
+    """The id of every document that `judge` finds garbled, and the further columns it gives."""
     spark = docs.sparkSession
     model = model or fit(docs, text, lang, doc_id)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t")).where(F.col("t").rlike(r"[^\x00-\x7f]|&#?\w{1,31};"))
-    out = f"`{doc_id}` {kind}, restored string, chains string, lost int"
+    out = ", ".join([f"`{doc_id}` {kind}", *[f"{k} {v}" for k, v in more.items()]])
     if not model.dicts:
-        return rows.where("false").select(F.col("i").alias(doc_id), F.col("t").alias("restored"), F.lit("").alias("chains"), F.lit(0).alias("lost"))
+        return spark.createDataFrame([], out)
     shared = spark.sparkContext.broadcast(model)  # a dictionary of DICT_BYTES at most for each language
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            got = [(i, *restore(t, l, m)) for i, l, t in zip(b["i"], b["l"], b["t"], strict=True)]
-            yield pd.DataFrame([(i, t, c, n) for i, hit, t, c, n in got if hit], columns=[doc_id, "restored", "chains", "lost"])
+            got = [(i, *judge(t, l, m)) for i, l, t in zip(b["i"], b["l"], b["t"], strict=True)]
+            yield pd.DataFrame([(i, *x) for i, hit, *x in got if hit], columns=[doc_id, *more])
 
     return rows.mapInPandas(run, out)

@@ -13,7 +13,7 @@ from .components import connected_components
 from .fusion import Score, fused_ranking
 from .heavy_hitters import heavy_hitters
 from .leakage import leaked_items
-from .mojibake import fit, garbled_texts, misread
+from .mojibake import fit, garbled_ids, garbled_texts, misread
 from .packing import bound_of, pack, token_counts
 from .term_frequency import marked_terms
 from .top_n import top_n
@@ -122,7 +122,7 @@ def p9_paraphrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return garbled_texts(table(spark, d, "documents"), "text", "lang", "doc_id").select("doc_id")
+    return garbled_ids(table(spark, d, "documents"), "text", "lang", "doc_id")
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +136,7 @@ def p10_trial(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "text")
     model = fit(docs, "text", "lang", "doc_id")
     scratch = Scratch(spark, "trial")
-    known = scratch.save(garbled_texts(docs, "text", "lang", "doc_id", model).select(F.col("doc_id").alias("_g")))
+    known = scratch.save(garbled_ids(docs, "text", "lang", "doc_id", model).select(F.col("doc_id").alias("_g")))
     good = docs.join(known, F.col("doc_id") == F.col("_g"), "left_anti").where(r"text rlike '[^\\x00-\\x7f]' and text not rlike '&#?\\w{1,31};'")
 
     def damage(batches):

@@ -496,6 +496,54 @@ def test_a_garbled_word_counts_as_often_as_it_stands():
     assert MB.restore(MB.misread(right), "en", model)[:2] == (True, right)
 
 
+def lines_model():
+    model = MB.Model({k: {ch for ch in t if ch > "\x7f"} for k, t in LINES.items()})
+    model.dicts = {k: MB._train([model.encode(t, k)]) for k, t in LINES.items()}
+    return model
+
+
+def test_a_text_garbled_three_times_is_found_without_the_search_for_its_chain(monkeypatch):
+    model, packed = lines_model(), []
+    text = MB.misread(MB.misread(MB.misread("Prélude à l’été – “œuvre”")))
+    whole = MB.Model.packed
+    monkeypatch.setattr(MB.Model, "packed", lambda self, *x: packed.append(x) or whole(self, *x))
+    assert MB.garbled(text, "fr", model) and len(packed) < 100  # 1,056 for the chain of least length
+
+
+def test_what_is_found_is_what_is_restored():
+    model, r, seen = lines_model(), random.Random(3), Counter()
+    ways = ["none", "utf8:cp1252", "utf8:cp850", "utf8:latin-1,cp1252", "single:cp1252>cp1250", "single:cp1250>cp1252", "single:mac-roman>cp1252"]
+    for _ in range(150):
+        lines = []
+        for _ in range(r.randint(1, 3)):
+            words = r.sample(LINES[r.choice(list(LINES))].split(), r.randint(1, 5))
+            for i in r.sample(range(len(words)), r.randint(0, min(2, len(words)))):
+                try:
+                    words[i] = damage(words[i], r.choice(ways))
+                except UnicodeError:
+                    words[i] += r.choice(["", "\x81", "�"])
+            lines.append(" ".join(words))
+        text, lang = "\n".join(lines), r.choice([*LINES, None])
+        hit, _, chains, _ = MB.restore(text, lang, model)
+        assert MB.garbled(text, lang, model) == hit, (text, lang)
+        seen[hit, bool(chains)] += 1
+    assert seen[True, True] and seen[True, False] and seen[False, False]
+    # Lines that gain only together, lost characters, entities.
+    together = "cafŽ en in\nça, et dignitŽ\nen één leven,\ndignité où"
+    assert not any(MB._shorter(x, ["fr", "cs", "nl"], model) for x in together.split("\n"))
+    for text, hit in ((together, True), ("caf\ufffd en in", True), ("caf&eacute; en in", False), ("café", False), ("cafe", False), ("", False)):
+        assert MB.garbled(text, "fr", model) == MB.restore(text, "fr", model)[0] == hit, text
+
+
+def test_ids_are_those_of_the_garbled_texts(spark):
+    texts = clean_texts(40)
+    rows = [(i, "nl", t) for i, t in enumerate(texts)] + [(100, "nl", damage(texts[0], "utf8:latin-1,latin-1")), (101, "nl", texts[1].replace("é", "�")), (102, None, None), (103, "nl", "")]
+    for some, ids in ((rows, [(100,), (101,)]), ([], [])):
+        df = table(spark, some, "id bigint, lang string, text string")
+        got = MB.garbled_ids(df, "text", "lang", "id")
+        assert got.dtypes == [("id", "bigint")] and sorted(map(tuple, got.collect())) == ids == sorted((x.id,) for x in MB.garbled_texts(df, "text", "lang", "id").collect())
+
+
 def test_no_texts(spark):
     assert MB.garbled_texts(table(spark, [], "id bigint, lang string, text string"), "text", "lang", "id").count() == 0
     assert MB.garbled_texts(table(spark, [(1, None, "é")], "id bigint, lang string, text string"), "text", "lang", "id").count() == 0
