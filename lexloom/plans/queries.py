@@ -421,12 +421,9 @@ def pairs_historical_any_distance(spark: SparkSession, d: str) -> DataFrame:
 
 def _ngram_pairs(spark: SparkSession, d: str) -> P.Pairs:
     """Pairs over the words and bigrams of the documents' lines; words of 50 and more occurrences are lexical."""
-    docs, letters = table(spark, d, "documents"), T.letters(spark, d)
-    scratch = Scratch(spark, "ngrams")
-    freqs = scratch.save(L.word_count(docs, "text", 1).unionByName(L.word_count(docs, "text", 2, per_line=True)))
-    anagrams = scratch.save(G.anagram_table(freqs, letters))
-    index = scratch.save(G.index_by_difference(scratch.save(G.keys_in_band(anagrams)), T.symbols(spark, d), 1))
-    return P.find_pairs(index, anagrams, freqs, artifrq=50, distance=1)
+    docs = table(spark, d, "documents")
+    freqs = L.word_count(docs, "text", 1).unionByName(L.word_count(docs, "text", 2, per_line=True))
+    return P.find_near_pairs(freqs, T.letters(spark, d), T.symbols(spark, d), artifrq=50)
 
 
 @query

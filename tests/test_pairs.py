@@ -123,6 +123,30 @@ def test_pairs(spark, ld, dense, monkeypatch):
     assert {(r.part1, r.part2): r.n for r in got.part_counts.collect()} == parts
 
 
+def test_near_pairs_are_those_of_the_index(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHORTENED", 300)
+    more = [("ab~cd", 3), ("ab#ce", 1000), ("Ab_Cd", 4), ("aaab", 1), ("abaa", 2), ("AAAB", 1001), ("aa!b", 1), ("aa!!b", 1), ("日本語ab", 1), ("日本話ab", 3), ("a😀bc", 1), ("abc", 2), ("abc", 7), (None, 1), ("ABC", None)]
+    voc = vocabulary(spark, 400).unionByName(spark.createDataFrame(more, "word string, freq bigint"))
+    voc = voc.unionByName(vocabulary(spark, 30, 2).select(F.concat("word", F.lit("_abcde")).alias("word"), "freq"))
+    ana = G.anagram_table(voc, LETTERS)
+    index = G.index_by_difference(G.keys_in_band(ana, 3, 11), SYMBOLS, 1)
+    want = P.find_pairs(index, ana, voc, artifrq=1000, distance=1, low_length=3)
+    got = P.find_near_pairs(voc, LETTERS, SYMBOLS, artifrq=1000, low_length=3, band=(3, 11))
+    for name in ("records", "short", "ambiguous", "part_counts"):
+        a, b = getattr(want, name), getattr(got, name)
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect())) != []
+
+
+def test_shuffle_files_go_with_the_query(spark):
+    from lexloom.session import Scratch
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    before = set(files())
+    kept = Scratch(spark).save(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not [x for x in set(files()) - before if x.endswith(".data")]
+    assert kept.count() == 7
+
+
 def test_short_and_ambiguous_pairs(spark):
     voc = spark.createDataFrame([("aa_bb", 1), ("aa_bc", 2), ("ea_bb", 1), ("ea_bc", 2), ("abcde_a", 1), ("abcd_a", 3), ("abcde", 4), ("abcd", 4)], "word string, freq bigint")
     ana = G.anagram_table(voc, LETTERS)
